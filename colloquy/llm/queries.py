@@ -11,8 +11,10 @@ from colloquy.llm.fingerprints import edited_neighbours
 from colloquy.llm.line_dedup import drop_boilerplate
 from colloquy.llm.media import text_media
 from colloquy.llm.mixing import mix
+from colloquy.llm.ngram_join import similarity_components
 from colloquy.llm.packing import pack, tokenize_pieces
 from colloquy.llm.secret_scan import BASE_RULES, scan_secrets
+from colloquy.llm.toxicity import is_held_out, learn, score
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +51,16 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A score from here on counts as toxic.
+TOXIC_FROM = 0.3
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, learn(docs, _read(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 #: Quality weights of the mix: labelled good, labelled bad, not labelled.
 GOOD, BAD, UNKNOWN = 1.0, 0.25, 0.5
 
@@ -65,13 +77,19 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(_read(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
+    "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
