@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.fingerprints import edited_neighbours
+from colloquy.llm.html_text import main_text
 from colloquy.llm.line_dedup import drop_boilerplate
 from colloquy.llm.media import text_media
 from colloquy.llm.mixing import mix
 from colloquy.llm.ngram_join import similarity_components
 from colloquy.llm.packing import pack, tokenize_pieces
 from colloquy.llm.secret_scan import BASE_RULES, scan_secrets
+from colloquy.llm.tool_calls import link_tool_calls, tool_items
 from colloquy.llm.toxicity import is_held_out, learn, score
 
 
@@ -32,6 +34,11 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_read(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -61,6 +68,39 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+#: Tools that the conversations are read as calls of: each field's type and whether it is required.
+TOOL_SCHEMAS = {
+    "ask": {"text": ("string", True), "turn": ("integer", True), "urgent": ("boolean", False)},
+    "note": {"text": ("string", True)},
+}
+
+
+def conversation_calls(turns: DataFrame) -> DataFrame:
+    """Conversations as messages with tool calls: a user's turn is a call that the next turn, if an assistant's, answers.
+
+    Calls at turns 1 of 4 are notes with a field too many, at turns 2 of 4 their turn is a string, at turns 3 of 4 the
+    tool has no schema; every fourth call waits for the one two turns before. System turns stay messages."""
+    call_id = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
+    at = F.pmod("turn", F.lit(4))
+    name = F.when(at == 3, "guess").when(at == 1, "note").otherwise("ask")
+    body = F.concat(F.lit('{"turn":'), F.when(at == 2, F.concat(F.lit('"'), F.col("turn").cast("string"), F.lit('"'))).otherwise(F.col("turn").cast("string")), F.lit(', "text":'), F.col("quoted"), F.lit("}"))
+    after = F.when(F.pmod("turn", F.lit(8)) == 4, F.concat(F.lit(', "after": ["'), call_id(F.col("turn") - 2), F.lit('"]'))).otherwise(F.lit(""))
+    call = F.concat(F.lit('{"tool_calls": [{"name":"'), name, F.lit('","id":"'), call_id(F.col("turn")), F.lit('"'), after, F.lit(', "arguments":'), body, F.lit("}]}"))
+    answer = F.concat(F.lit('{"tool_call_id":"'), call_id(F.col("turn") - 1), F.lit('", "content":'), F.col("quoted"), F.lit("}"))
+    quoted = F.expr("""left(substring(to_json(struct(coalesce(text, '') AS t)), 6), length(to_json(struct(coalesce(text, '') AS t))) - 6)""")
+    return turns.withColumn("quoted", quoted).select(
+        "conv_id", "turn", F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", answer).otherwise(F.col("text")).alias("text"),
+    )
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = tool_items(conversation_calls(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), TOOL_SCHEMAS)
+    return link_tool_calls(items).select(
+        "conv_id", "turn", "kind", "id", "linked", F.array_join("errors", "; ").alias("errors"), F.col("after_turn").alias("after_turn"), "depth", "json"
+    )
+
+
 #: Quality weights of the mix: labelled good, labelled bad, not labelled.
 GOOD, BAD, UNKNOWN = 1.0, 0.25, 0.5
 
@@ -83,10 +123,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_main_text": op2_main_text,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
+    "op7_tool_calls": op7_tool_calls,
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
     "op10_ngram_jaccard": op10_ngram_jaccard,

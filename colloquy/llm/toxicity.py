@@ -352,7 +352,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
             scorer = _scorers[id(m)] = Scorer(m)
         for batch in batches:
             out, held, size = [], [], 0
-            for x in batch.column(len(names)):
+            for x in batch.column(names.index(text) if text in names else len(names)):
                 held.append(x.as_py() or "")
                 size += len(held[-1])
                 if size >= portion_chars:
@@ -363,7 +363,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
             scores = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias("_text")).mapInArrow(run, schema)
+    extra = [] if text in names else [F.col(text).alias("_text")]
+    return docs.select(*[F.col(f"`{c}`") for c in names], *extra).mapInArrow(run, schema)
 
 
 def crc_held_out(doc_id: object) -> bool:
