@@ -60,6 +60,7 @@ def mix(
     source: str = "source",
     text: str = "text",
     weight: Column | None = None,
+    size: Column | None = None,
     shares: tuple[int, ...] = (5, 2, 1),
     cap: int = 3,
     seed: str = "mix",
@@ -69,6 +70,7 @@ def mix(
     """``docs`` with ``size``, ``source_size``, ``target`` (words, of its source), ``copies`` and ``taken`` (= copies *
     size). Columns of ``docs`` with these names are replaced.
 
+    ``size``: the size of a row, if it is known already; else the words of ``text`` are counted.
     ``weight``: quality weight of a row, above 0; null or not positive counts as 1. The document that crosses a budget
     is taken if half of it or more fits. Sources: a null source is one of its own. A null or empty text has size 0 and
     takes nothing. Rows of equal doc_id and source share a key: they are taken or left together. An empty table gives
@@ -76,13 +78,14 @@ def mix(
     joined by a shuffle beyond.
     """
     spark = docs.sparkSession
+    size = word_count(F.col(text)) if size is None else size.cast("long")
     ours = ["size", "source_size", "target", "copies", "taken"]
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ours])
+    names = [c for c in docs.columns if c not in ours]
     w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(F.lit(1.0))
     identity = F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(source).cast("string"), F.lit("")))
     key = sampling_key(identity, w, seed)
 
-    sized = materialise(kept.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key")), "mix-sizes")
+    sized = materialise(docs.select(F.col(source).alias("source"), size.alias("size"), key.alias("key")), "mix-sizes")
     n = sized.count()
     buckets = min(65536, max(64, n // rows_per_bucket))
     bucket = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("long")
@@ -122,7 +125,7 @@ def mix(
     plan = cut(plan)
     if plan.count() <= broadcast_sources:
         plan = F.broadcast(plan)
-    marked = kept.withColumn("size", word_count(F.col(text))).withColumn("_key", key)
+    marked = docs.select(*[F.col(f"`{c}`") for c in names], size.alias("size"), key.alias("_key"))
     marked = marked.withColumn("_b", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets).cast("long"))
     joined = marked.join(plan, F.col(source).eqNullSafe(F.col("_source")), "inner")
     chosen = (F.col("_b") < F.col("_bucket")) | ((F.col("_b") == F.col("_bucket")) & (F.col("_key") <= F.col("_last_key")))
@@ -130,5 +133,5 @@ def mix(
     return (
         joined.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*[f"`{c}`" for c in kept.columns], *ours)
+        .select(*[f"`{c}`" for c in names], *ours)
     )

@@ -11,7 +11,7 @@ from colloquy.llm.fingerprints import edited_neighbours
 from colloquy.llm.html_text import main_text
 from colloquy.llm.line_dedup import drop_boilerplate
 from colloquy.llm.media import text_media
-from colloquy.llm.mixing import mix
+from colloquy.llm.mixing import mix, word_count
 from colloquy.llm.ngram_join import similarity_components
 from colloquy.llm.packing import pack, tokenize_pieces
 from colloquy.llm.secret_scan import BASE_RULES, scan_secrets
@@ -106,11 +106,11 @@ GOOD, BAD, UNKNOWN = 1.0, 0.25, 0.5
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sizes = _read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     quality = _read(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("quality").alias("_quality"))
-    sized = docs.join(quality, F.col("doc_id") == F.col("_id"), "left")
+    sized = sizes.join(quality, F.col("doc_id") == F.col("_id"), "left")
     weight = F.coalesce(F.lit(BAD) + (GOOD - BAD) * F.col("_quality"), F.lit(UNKNOWN))
-    return mix(sized, weight=weight).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(sized, size=F.col("words"), weight=weight).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
