@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from colloquy.plans import conversations, documents, events, vectors
+
+_MODULES = (conversations, documents, vectors, events)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
