@@ -49,23 +49,24 @@ def tool_items(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool
     calls = F.when(F.col("role") == "assistant", F.try_variant_get("v", "$.tool_calls", "array<variant>"))
     answers = F.when(F.col("role") == "tool", F.try_variant_get("v", "$.tool_call_id", "string"))
     base = base.withColumn("calls", calls).withColumn("answers", answers)
-    none, no_errors = F.lit(None).cast("string"), F.array().cast("array<string>")
-    plain = base.filter("(calls IS NULL OR size(calls) = 0) AND answers IS NULL").select(
-        "conv_id", "turn", F.lit(0).alias("pos"), F.lit("message").alias("kind"), "role", none.alias("id"), F.array().cast("array<string>").alias("after"), no_errors.alias("errors"),
-        F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.coalesce("role", F.lit("")).alias("role"))).alias("json"),
-    )
-    results = base.filter("answers IS NOT NULL").select(
-        "conv_id", "turn", F.lit(0).alias("pos"), F.lit("result").alias("kind"), "role", F.col("answers").alias("id"), F.array().cast("array<string>").alias("after"), no_errors.alias("errors"),
-        F.to_json("v").alias("json"),
-    )
-    each = base.filter("size(calls) > 0").select("conv_id", "turn", F.posexplode("calls").alias("pos", "c"), "role")
-    name, arguments = F.try_variant_get("c", "$.name", "string"), F.try_variant_get("c", "$.arguments", "variant")
-    after = F.coalesce(F.try_variant_get("c", "$.after", "array<string>"), F.array().cast("array<string>"))
-    called = each.select(
-        "conv_id", "turn", "pos", F.lit("call").alias("kind"), "role", F.try_variant_get("c", "$.id", "string").alias("id"), F.array_distinct(F.array_compact(after)).alias("after"),
-        schema_errors(name, arguments, schemas).alias("errors"), F.to_json("c").alias("json"),
-    )
-    return plain.unionByName(results).unionByName(called)
+    strings = F.array().cast("array<string>")
+
+    def item(pos: Column, kind: str, identifier: Column, after: Column, errors: Column, text: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), F.lit(kind).alias("kind"), identifier.cast("string").alias("id"), after.alias("after"), errors.alias("errors"), text.alias("json"))
+
+    def called(c: Column, i: Column) -> Column:
+        after = F.coalesce(F.try_variant_get(c, "$.after", "array<string>"), strings)
+        errors = schema_errors(F.try_variant_get(c, "$.name", "string"), F.try_variant_get(c, "$.arguments", "variant"), schemas)
+        return item(i, "call", F.try_variant_get(c, "$.id", "string"), F.array_distinct(F.array_compact(after)), errors, F.to_json(c))
+
+    said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.coalesce("role", F.lit("")).alias("role")))
+    # one row becomes its items in place: a single pass, whatever it holds
+    found = (
+        F.when(F.size("calls") > 0, F.transform("calls", called))
+        .when(F.col("answers").isNotNull(), F.array(item(F.lit(0), "result", F.col("answers"), strings, strings, F.to_json("v"))))
+        .otherwise(F.array(item(F.lit(0), "message", F.lit(None), strings, strings, said)))
+    )
+    return base.select("conv_id", "turn", "role", F.explode(found).alias("i")).select("conv_id", "turn", "i.pos", "i.kind", "role", "i.id", "i.after", "i.errors", "i.json")
 
 
 def link_tool_calls(items: DataFrame) -> DataFrame:
