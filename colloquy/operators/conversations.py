@@ -13,8 +13,15 @@ from colloquy.functions.text import rough_tokens, strip
 ROLES = ("system", "user", "assistant")
 # Other names of the roles.
 ROLE_ALIASES = {"human": "user", "user": "user", "gpt": "assistant", "bot": "assistant", "ai": "assistant", "model": "assistant", "assistant": "assistant", "system": "system"}
-BY_TURN = W.partitionBy("conv_id").orderBy("turn")
-EARLIER = BY_TURN.rowsBetween(W.unboundedPreceding, -1)
+
+
+def by_turn():
+    """A conversation's turns in order."""
+    return W.partitionBy("conv_id").orderBy("turn")
+
+
+def earlier():
+    return by_turn().rowsBetween(W.unboundedPreceding, -1)
 
 
 def normal_role(role: Column) -> Column:
@@ -44,9 +51,9 @@ def prompt_samples(turns: DataFrame, *, context: int = 12, min_prompt: int = 1,
     and itself as reference. Whether there was a user is asked of all earlier turns, lengths of what is kept."""
     line = F.concat(F.upper("role"), F.lit(": "), F.col("text"))
     messages = normal_messages(turns).select(
-        "conv_id", "turn", "role", "text", F.lag("role").over(BY_TURN).alias("_before"),
-        F.max(F.col("role") == "user").over(EARLIER).alias("_user"),
-        F.collect_list(line).over(BY_TURN.rowsBetween(-context, -1)).alias("_context"),
+        "conv_id", "turn", "role", "text", F.lag("role").over(by_turn()).alias("_before"),
+        F.max(F.col("role") == "user").over(earlier()).alias("_user"),
+        F.collect_list(line).over(by_turn().rowsBetween(-context, -1)).alias("_context"),
     )
     prompt = F.array_join("_context", "\n")
     kept = messages.filter((F.col("role") == "assistant") & F.col("_user") & (F.col("_before") == "user"))
@@ -57,8 +64,8 @@ def prompt_samples(turns: DataFrame, *, context: int = 12, min_prompt: int = 1,
 def sample_ids(samples: DataFrame, turns: DataFrame, source: str) -> DataFrame:
     """``samples`` with an id source:conversation:offset:number. The offset of a turn counts all rows of its
     conversation, kept or not; the number counts kept samples."""
-    offset = turns.select("conv_id", "turn", (F.row_number().over(BY_TURN) - 1).alias("_offset"))
-    number = F.row_number().over(BY_TURN) - 1
+    offset = turns.select("conv_id", "turn", (F.row_number().over(by_turn()) - 1).alias("_offset"))
+    number = F.row_number().over(by_turn()) - 1
     return (
         samples.join(offset, ["conv_id", "turn"])
         .withColumn("id", F.concat_ws(":", F.lit(source), F.col("conv_id").cast("string"), F.col("_offset").cast("string"), number.cast("string")))
@@ -70,10 +77,10 @@ def collapse_runs(turns: DataFrame) -> DataFrame:
     """User and assistant turns in strict alternation from user to assistant: of a run of one role the last stays, an
     assistant at the start and a user at the end go. Conversations without a pair vanish. ``pos`` counts from 1."""
     dialogue = turns.filter(F.col("role").isin("user", "assistant"))
-    last = dialogue.withColumn("_next", F.lead("role").over(BY_TURN)).filter(F.col("_next").isNull() | (F.col("_next") != F.col("role"))).drop("_next")
-    ends = last.withColumn("_first", F.lag("role").over(BY_TURN).isNull()).withColumn("_last", F.lead("role").over(BY_TURN).isNull())
+    last = dialogue.withColumn("_next", F.lead("role").over(by_turn())).filter(F.col("_next").isNull() | (F.col("_next") != F.col("role"))).drop("_next")
+    ends = last.withColumn("_first", F.lag("role").over(by_turn()).isNull()).withColumn("_last", F.lead("role").over(by_turn()).isNull())
     kept = ends.filter(~(F.col("_first") & (F.col("role") == "assistant")) & ~(F.col("_last") & (F.col("role") == "user")))
-    return kept.drop("_first", "_last").withColumn("pos", F.row_number().over(BY_TURN).cast("long"))
+    return kept.drop("_first", "_last").withColumn("pos", F.row_number().over(by_turn()).cast("long"))
 
 
 def trim_to_budget(turns: DataFrame, *, budget: int, tokens: Column | None = None) -> DataFrame:
@@ -92,7 +99,7 @@ def trim_to_budget(turns: DataFrame, *, budget: int, tokens: Column | None = Non
 
 def drop_repeated_system(turns: DataFrame, pattern: str) -> DataFrame:
     """Without system turns, after the first, that match a pattern."""
-    nth = F.sum((F.col("role") == "system").cast("int")).over(BY_TURN.rowsBetween(W.unboundedPreceding, W.currentRow))
+    nth = F.sum((F.col("role") == "system").cast("int")).over(by_turn().rowsBetween(W.unboundedPreceding, W.currentRow))
     return turns.withColumn("_nth", nth).filter(~((F.col("role") == "system") & (F.col("_nth") > 1) & F.col("text").rlike(pattern))).drop("_nth")
 
 
@@ -106,7 +113,7 @@ def recent_digest(turns: DataFrame, *, pairs: int = 6, chars: int = 220) -> Data
 
 def partner_context(turns: DataFrame) -> DataFrame:
     """``turns`` with ``partner``: the nearest earlier text of the other one of user and assistant."""
-    last = lambda role: F.last(F.when(F.col("role") == role, F.col("text")), ignorenulls=True).over(EARLIER)
+    last = lambda role: F.last(F.when(F.col("role") == role, F.col("text")), ignorenulls=True).over(earlier())
     return turns.withColumn("partner", F.when(F.col("role") == "user", last("assistant")).when(F.col("role") == "assistant", last("user")))
 
 
@@ -116,7 +123,7 @@ def last_by_role(turns: DataFrame) -> DataFrame:
 
 def history(turns: DataFrame, *, size: int = 6) -> DataFrame:
     """``turns`` with the texts of the ``size`` turns before each."""
-    return turns.withColumn("history", F.collect_list("text").over(BY_TURN.rowsBetween(-size, -1)))
+    return turns.withColumn("history", F.collect_list("text").over(by_turn().rowsBetween(-size, -1)))
 
 
 def until_last_user(turns: DataFrame) -> DataFrame:
@@ -133,7 +140,7 @@ def label_mask(ids: Column, answer_from: Column) -> Column:
 
 def streak(turns: DataFrame, flag: Column, name: str = "streak") -> DataFrame:
     """``turns`` with how many turns up to each the flag has held without a break."""
-    resets = F.sum((~F.coalesce(flag, F.lit(False))).cast("int")).over(BY_TURN.rowsBetween(W.unboundedPreceding, W.currentRow))
+    resets = F.sum((~F.coalesce(flag, F.lit(False))).cast("int")).over(by_turn().rowsBetween(W.unboundedPreceding, W.currentRow))
     marked = turns.withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn("_island", resets)
     inside = W.partitionBy("conv_id", "_island").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
     return marked.withColumn(name, F.sum(F.col("_flag").cast("long")).over(inside)).drop("_flag", "_island")

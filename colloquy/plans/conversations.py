@@ -77,13 +77,13 @@ def until_last_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _turns(spark, sf_dir).select("conv_id", "turn", text.token_set(F.col("text")).alias("words"))
-    before = F.lag("words").over(ops.BY_TURN)
+    before = F.lag("words").over(ops.by_turn())
     return words.withColumn("before", before).filter("before IS NOT NULL").select("conv_id", "turn", F.round(jaccard(F.col("words"), F.col("before")), 9).alias("jaccard"))
 
 
 def echo_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character ratio and word overlap with the turn before: rows only, as SQL has no such ratio."""
-    pairs = _turns(spark, sf_dir).withColumn("before", F.lag("text").over(ops.BY_TURN)).filter("before IS NOT NULL")
+    pairs = _turns(spark, sf_dir).withColumn("before", F.lag("text").over(ops.by_turn())).filter("before IS NOT NULL")
     return pairs.select("conv_id", "turn", F.round(echo_ratio(F.col("text"), F.col("before")), 9).alias("echo"))
 
 
