@@ -5,7 +5,8 @@ documents, in buckets); two documents that are alike enough share one of their f
 that leave room for the overlap they need. Each n-gram's column gives pairs of its first document with every other;
 their overlaps are then counted in blocks over the whole rows. A pair of two others of a column is only looked at
 while they are not known to be connected: that keeps a group of many copies from giving all its pairs, and no link
-between documents that are not otherwise connected is lost.
+between documents that are not otherwise connected is lost. Before overlaps are counted, pairs go whose 512-bit parity
+sketches differ in more bits than sets of their sizes may differ in n-grams: each n-gram that only one has flips one bit.
 """
 
 from __future__ import annotations
@@ -155,26 +156,40 @@ def commonness(docs: DataFrame, *, text: str, k: int, bits: int) -> np.ndarray:
     return np.minimum(np.log2(out + 1.0) * 64, 65535).astype(np.uint16)
 
 
+#: Columns of a set's parity sketch.
+PARITY = tuple(f"s{i}" for i in range(8))
+
+
+def _parity(found: np.ndarray) -> np.ndarray:
+    """Bit i tells whether the number of n-grams that fall on i is odd."""
+    bits = 64 * len(PARITY)
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def sketch(docs: DataFrame, *, doc_id: str, text: str, k: int, percent: int, common: np.ndarray, bits: int) -> DataFrame:
-    """(doc_id, n, node, prefix): the size of a document's set, its identity, and the n-grams among which two sets of
-    the wanted likeness must share one, rarest first."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """(doc_id, n, node, s0..s7, prefix): the size of a document's set, its identity, its parity sketch, and the n-grams
+    among which two sets of the wanted likeness must share one, rarest first."""
+    longs = [T.StructField(c, T.LongType()) for c in ("n", "node", *PARITY)]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *longs, T.StructField("prefix", T.ArrayType(T.LongType()))])
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value.astype(np.uint64) << np.uint64(48)
         for batch in batches:
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes, parities, prefixes = [], [], [], []
             for found in _sets(batch.column(1), k):
                 n = len(found)
                 # stable on sorted hashes: one order of all n-grams, the same in every document
                 order = np.argsort(ranks[(found >> np.uint64(64 - bits)).astype(np.int64)] | found >> np.uint64(16), kind="stable")
                 sizes.append(n)
                 nodes.append(_node(found))
+                parities.append(_parity(found))
                 prefixes.append(found[order[: n + (n > 0) - -(-percent * n // 100)]].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
+            bits_of = np.array(parities, dtype=np.int64).reshape(len(parities), len(PARITY))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *[pa.array(bits_of[:, i]) for i in range(len(PARITY))], pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
@@ -187,6 +202,12 @@ def _could_link(x: str, y: str, percent: int) -> Column:
     return size & room
 
 
+def _may_differ(x: str, y: str, percent: int) -> Column:
+    """Whether two sets' sketches differ in no more bits than sets of their sizes that link may in n-grams."""
+    bits = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITY), F.lit(0))
+    return bits * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, *, percent: int, block: int = 256) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets in ``sets`` (node, grams: 8 bytes each, sorted) are alike. The pairs of one a
     are dealt out in blocks, each with a copy of a's set; a task holds one a and reads its b one by one."""
@@ -241,15 +262,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast where it has so many rows at most; ``df`` is a written table, so counting is cheap."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _labelled(postings: DataFrame, labels: DataFrame | None, broadcast_rows: int) -> DataFrame:
     if labels is None:
         return postings.withColumn("label", F.col("node"))
-    known = labels.select(F.col("node").alias("_n"), "label")
+    known = _small(labels.select(F.col("node").alias("_n"), "label"), broadcast_rows)
     return postings.join(known, postings["node"] == known["_n"], "left").withColumn("label", F.coalesce("label", "node")).drop("_n")
 
 
 def similarity_components(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bits: int = 18, broadcast_docs: int = 500_000
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bits: int = 18, rounds: int = 1, broadcast_docs: int = 100_000
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the size of its set of distinct k-word runs, and the least
     doc_id that links lead to, itself included. Two rows link when 100 * shared >= percent * united.
@@ -257,7 +283,8 @@ def similarity_components(
     Words are runs of anything but ASCII white space, A-Z lowered; a text with fewer than k words is one run; a null
     text, or one without words, has an empty set and links with nothing, not even its like. Rows of equal sets are one
     node. Null ids: the row takes part, and a component of such rows alone has a null id; equal ids may be in several
-    components. Sets are told apart by 64-bit hashes.
+    components. Sets are told apart by 64-bit hashes. ``rounds``: how often further heads are tried before the rest of
+    a column is paired; tables of up to ``broadcast_docs`` rows of a few numbers are broadcast. Neither changes results.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -265,61 +292,71 @@ def similarity_components(
     rows = materialise(sketch(docs, doc_id="doc_id", text="text", k=k, percent=percent, common=common, bits=bits), "ngram-sketch")
     full = rows.filter("n > 0")
     # one node for each distinct set
-    nodes = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    first = entries.groupBy("gram").agg(F.count("*").alias("df"), F.min(F.struct("n", "node", "pos")).alias("f")).filter("df > 1")
-    first = first.select("gram", F.col("f.n").alias("n"), F.col("f.node").alias("node"), F.col("f.pos").alias("pos"))
-    columns = materialise(
-        entries.alias("x").join(first.alias("y"), "gram").select("gram", "x.node", "x.n", "x.pos", F.col("y.node").alias("head"), F.col("y.n").alias("head_n"), F.col("y.pos").alias("head_pos")),
-        "ngram-columns",
-    )
+    info = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *PARITY)]), "ngram-nodes")
+    entries = full.groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
+    shared = entries.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram")
+    columns = materialise(entries.join(shared, "gram"), "ngram-columns")
     _forget(spark)
-    lead = columns.select("gram", "node", "n", "pos", "head", F.struct(F.col("head_n").alias("n"), F.col("head_pos").alias("pos")).alias("h"), F.struct("n", "pos").alias("x"))
-    stars = cut(lead.filter("node <> head").filter(_could_link("x", "h", percent)).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c")))
+    # a column's head is the document that shares most of its first n-grams with others: what copies are copies of
+    commons = cut(columns.groupBy("node").agg(F.count("*").alias("commons")))
+    share = F.col("commons") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    columns = columns.join(commons, "node").withColumn("rank", F.struct(share.alias("share"), F.col("n").alias("n"), F.col("node").alias("node"), F.col("pos").alias("pos"))).drop("commons")
+    heads = columns.groupBy("gram").agg(F.max("rank").alias("h"))
+    columns = materialise(columns.join(heads, "gram"), "ngram-headed")
+    sized = info.select("node", "n", *PARITY)
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    lookup = full.groupBy("node").agg(F.min("doc_id").alias("rep"))
 
     def link(pairs: DataFrame) -> None:
-        """Verifies the pairs that are not connected yet and takes in what links."""
+        """Counts the overlaps of the pairs that are not connected yet and could link, and takes in what links."""
         nonlocal links, labels
         if labels is not None:
-            left, right = (labels.select(F.col("node").alias(f"_{s}"), F.col("label").alias(f"_l{s}")) for s in "ab")
+            left, right = (_small(labels.select(F.col("node").alias(f"_{s}"), F.col("label").alias(f"_l{s}")), broadcast_docs) for s in "ab")
             pairs = pairs.join(left, pairs["a"] == left["_a"], "left").join(right, pairs["b"] == right["_b"], "left")
             pairs = pairs.filter(F.coalesce("_la", "a") != F.coalesce("_lb", "b"))
+        pairs = pairs.select("a", "b").join(sized.alias("p"), F.col("a") == F.col("p.node")).join(sized.alias("q"), F.col("b") == F.col("q.node")).filter(_may_differ("p", "q", percent))
         pairs = cut(pairs.select("a", "b"))
         if pairs.isEmpty():
             return
-        wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(lookup, "node"))
+        wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(info.select("node", "rep"), "node"))
         found = cut(verify(pairs, _sets_of(docs, wanted, k, broadcast_docs), percent=percent))
+        _forget(spark)
         if found.isEmpty():
             return
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-
-    # first each document with the head it shares most with, then with its other heads
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    link(best)
-    link(stars.select("a", "b"))
-    # then those not connected to their column's head, with everything else in it
-    marked = _labelled(columns.select("gram", "node", "n", "pos", "head"), labels)
-    heads = _labelled(columns.select(F.col("head").alias("node")).distinct(), labels).select(F.col("node").alias("_h"), F.col("label").alias("head_label"))
-    marked = marked.join(heads, marked["head"] == heads["_h"]).drop("_h")
-    mixed = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("gram")
-    marked = cut(marked.join(mixed, "gram").withColumn("out", F.col("label") != F.col("head_label")).filter("node <> head"))
+        _forget(spark)
+
+    # first each document with the heads of its columns
+    stars = columns.filter("node <> h.node").select("node", "h", F.struct("n", "pos").alias("x")).filter(_could_link("x", "h", percent))
+    link(stars.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct())
+    # then, in columns that hold more than one component, with the best of those not connected to the head, some times
+    live = columns
+    for done in range(rounds + 1):
+        marked = _labelled(live.select("gram", "node", "n", "pos", "rank", "h"), labels, broadcast_docs)
+        own = F.max(F.when(F.col("node") == F.col("h.node"), F.col("label")))
+        mixed = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), own.alias("head_label")).filter("lo <> hi").select("gram", "head_label")
+        marked = marked.join(mixed, "gram").withColumn("out", F.col("label") != F.col("head_label")).drop("head_label")
+        live = cut(marked)
+        if live.isEmpty() or done == rounds:
+            break
+        next_heads = live.filter("out").groupBy("gram").agg(F.max(F.struct("rank", "label")).alias("g"))
+        tried = live.join(next_heads, "gram").filter("label <> g.label").select("node", F.col("g.rank").alias("g"), F.struct("n", "pos").alias("x"))
+        link(tried.filter(_could_link("x", "g", percent)).select(F.col("g.node").alias("a"), F.col("node").alias("b")).distinct())
+    # and last with everything else in such a column
+    live = live.filter("node <> h.node").select("gram", "node", "pos", "label", "out").join(sized, "node")
     rest = (
-        marked.filter("out").alias("x")
-        .join(marked.alias("y"), F.col("x.gram") == F.col("y.gram"))
+        live.filter("out").alias("x")
+        .join(live.alias("y"), F.col("x.gram") == F.col("y.gram"))
         .filter("x.label <> y.label AND (NOT y.out OR x.node < y.node)")
-        .filter(_could_link("x", "y", percent))
+        .filter(_could_link("x", "y", percent) & _may_differ("x", "y", percent))
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
     )
     link(rest)
-    _forget(spark)
 
-    members = _labelled(rows.select("doc_id", "n", "node"), labels)
+    members = _labelled(rows.select("doc_id", "n", "node"), labels, broadcast_docs)
     least = members.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")).select(F.col("label").alias("_label"), "component_id")
     return members.join(least, (members["label"] == least["_label"]) & (members["n"] > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
