@@ -99,7 +99,7 @@ def completions(turns: DataFrame) -> DataFrame:
     behind the quote, every seventh with a role mark."""
     at = F.regexp_instr("text", F.lit("[.]"))
     head, rest = F.substring("text", F.lit(1), at), F.regexp_replace(F.substring(F.col("text"), at + 1, F.length("text")), r"\s+", " ")
-    body = F.concat(head, F.lit('\n"'), F.substring(F.trim(rest), 1, 250), F.lit('"'))
+    body = F.concat(head, F.lit('\n"'), F.trim(rest), F.lit('"'))
     marked = F.when(F.col("conv_id") % 4 == 0, F.concat(body, F.lit(" tail"))).when(F.col("conv_id") % 7 == 0, F.concat(body, F.lit("\nUser: x"))).otherwise(body)
     return turns.filter("role = 'assistant' AND instr(text, '.') > 0").select("conv_id", "turn", marked.alias("completion"))
 

@@ -96,7 +96,7 @@ def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("query_text"))
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     items = _docs(spark, sf_dir, "text").select(F.col("doc_id").alias("item_id"), F.col("text").alias("item_text"))
     scored = retrieval.bm25(queries, items).withColumn("score", F.round("score", 6))
     return retrieval.top_k(scored, 5, F.col("score").desc(), F.col("item_id")).select("query_id", "item_id", "score", "rank")
@@ -125,7 +125,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = speech.with_blanks(speech.symbol_ids(F.split(F.substring(F.lower("text"), 1, 200), ""), SYMBOLS, unknown=len(SYMBOLS) + 1))
+    ids = speech.with_blanks(speech.symbol_ids(F.split(F.lower("text"), ""), SYMBOLS, unknown=len(SYMBOLS) + 1))
     return _docs(spark, sf_dir, "text").select("doc_id", F.size(ids).cast("long").alias("n_ids"), F.aggregate(ids, F.lit(0).cast("long"), lambda s, x: s + x).alias("id_sum"))
 
 
