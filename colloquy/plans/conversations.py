@@ -33,8 +33,11 @@ def seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _turns(spark, sf_dir).filter("turn % 5 <> 3")
-    return ops.collapse_runs(turns).select("conv_id", "pos", "turn", "role", F.md5("text").alias("text_md5"))
+    """All turns, and before every fifth of them a draft of the same role, which makes a run that the turn itself ends."""
+    turns = _turns(spark, sf_dir)
+    draft = turns.filter("turn % 5 = 3").withColumns({"turn": F.col("turn") * 2, "text": F.concat(F.lit("draft: "), F.col("text"))})
+    found = ops.collapse_runs(turns.withColumn("turn", F.col("turn") * 2 + 1).unionByName(draft))
+    return found.select("conv_id", "pos", F.floor(F.col("turn") / 2).alias("turn"), "role", F.md5("text").alias("text_md5"))
 
 
 def budget_trim(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,9 +130,10 @@ def symbol_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is in one of the dictionaries at least: in the first alone, in the second alone, or in both."""
     docs = _docs(spark, sf_dir, "lang", "source")
     a = docs.filter("doc_id % 3 <> 0").select("doc_id", F.col("lang").alias("word"))
-    b = docs.filter("doc_id % 2 = 0").select("doc_id", F.col("source").alias("word"))
+    b = docs.filter("doc_id % 2 = 0 OR doc_id % 3 = 0").select("doc_id", F.col("source").alias("word"))
     return memory.merge_dictionaries(a, b, key="doc_id", value="word")
 
 

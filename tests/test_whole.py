@@ -11,6 +11,8 @@ CUTS = {
     "bm25_topk": [("substr(text, 1, 200)", "text")],
     "rewards": [("substr(rest, 1, 250)", "rest")],
     "quote_split": [("substr(rest, 1, 250)", "rest")],
+    "turn_collapse": [(" WHERE turn % 5 <> 3", "")],
+    "dictionary_merge": [("doc_id % 2 = 0", "doc_id % 2 = 0 OR doc_id % 3 = 0")],
 }
 
 
