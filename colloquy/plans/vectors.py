@@ -38,11 +38,11 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items for each query, by their places in two full rankings: Euclidean distance and dot product of whole vectors."""
     items = _items(spark, sf_dir)
-    near = retrieval.nearest(_queries(items), items, k=20).select("query_id", "item_id", "rank")
-    pairs = items.join(F.broadcast(_queries(items))).withColumn("c", F.round(vectors.dot(F.slice("item_vec", 1, 16), F.slice("query_vec", 1, 16)), 9))
-    part = retrieval.top_k(pairs.select("query_id", "item_id", "c"), 20, F.col("c").desc(), F.col("item_id")).select("query_id", "item_id", "rank")
-    return retrieval.fuse(near, part).withColumn("rrf", F.round("rrf", 9))
+    near = retrieval.nearest(_queries(items), items, k=None).select("query_id", "item_id", "rank")
+    alike = retrieval.most_alike(_queries(items), items, k=None).select("query_id", "item_id", "rank")
+    return retrieval.fuse(near, alike).withColumn("rrf", F.round("rrf", 9))
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ CUTS = {
     "quote_split": [("substr(rest, 1, 250)", "rest")],
     "turn_collapse": [(" WHERE turn % 5 <> 3", "")],
     "dictionary_merge": [("doc_id % 2 = 0", "doc_id % 2 = 0 OR doc_id % 3 = 0")],
+    "rrf_fusion": [("v[1:16]", "v"), (" WHERE rank <= 20", "")],
 }
 
 
