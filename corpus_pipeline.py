@@ -36,18 +36,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates on five-word shingles at 0.8. Documents
-    without words are in no group and stay; repeated rows of one id and text become one row."""
-    found = cut(similarity_components(docs))
+    """One row of each group of near duplicates on five-word shingles at 0.8: that of the least id, where null ids come
+    last, and among rows of one id that of the least text hash. Rows are told apart by id and text, so another text of
+    an id that goes stays if it is in no group. Documents without words are in no group and stay; repeated rows of one
+    id and text that have words become one row."""
+    rows = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text")))
+    found = cut(similarity_components(rows, doc_id="_row"))
     gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti")
     again = cut(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
     if again.isEmpty():
-        return kept
-    single = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
-    return single.unionByName(kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.drop("_row")
+    single = kept.join(again, F.col("_row") == F.col("_again"), "left_anti")
+    return single.unionByName(kept.join(again, F.col("_row") == F.col("_again"), "left_semi").dropDuplicates(["_row"])).drop("_row")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
