@@ -1,9 +1,11 @@
 """Main text of web pages by removing a site's template.
 
-Every element's subtree is hashed; a host's hashes are counted in Spark, once for each different article they stand
-beside, and subtrees that recur are deleted from that host's pages. What names itself as a menu, header, footer,
-sidebar, notice, advert, form or comment goes by its name, also on hosts with few pages. Inside an article only boxes
-can be template: its paragraphs, headings and lists stay even if they recur.
+Every element's subtree is hashed; a host's hashes are counted in Spark, and subtrees that recur are deleted from that
+host's pages, wherever they stand: beside an article, what does not recur is text of the page like the article itself.
+What names itself as a menu, header, footer, sidebar, notice, advert, form or comment goes by its name, also on hosts
+with few pages. Inside an article only boxes can be template, counted once for each different article: its paragraphs,
+headings and lists stay even if they recur. Beside articles a subtree counts once for each different page, and where a
+page has several articles, each can be template as a whole.
 """
 
 from __future__ import annotations
@@ -53,6 +55,12 @@ class Element:
         self.holds, self.hash, self.dropped = False, 0, False
 
 
+def _loose(text: str) -> Element:
+    e = Element("#text", False)
+    e.children.append(text)
+    return e
+
+
 def _names_itself(tag: str, attributes: str) -> bool:
     for m in _NAMING.finditer(attributes):
         parts = set(_PART.findall((m[1] or m[2] or m[3] or "").lower()))
@@ -146,6 +154,11 @@ class Page:
             while up is not None and not up.holds:
                 up.holds = True
                 up = parent[id(up)]
+        # loose text around a main part is hashed and counted like an element
+        for e, _ in self.order:
+            if e.holds and e not in self.mains:
+                e.children = [c if isinstance(c, Element) or not c.strip() else _loose(c) for c in e.children]
+        self.order = list(_walk(self.root))
         inside: set[int] = set()
         for e, p in self.order:
             within = p is not None and id(p) in inside
@@ -178,38 +191,43 @@ class Page:
         whole = self.mains or [self.root]
         return _signed(int.from_bytes(hashlib.blake2b(b"".join(e.hash.to_bytes(8, "big") for e in whole), digest_size=8).digest(), "big"))
 
+    def found(self) -> set[tuple[int, bool, int]]:
+        """(hash, whether it is running text, hash of what it counts once for) of what may be template."""
+        main, page, tops = self.main_hash(), _signed(self.root.hash), {id(e) for e in self.mains}
+        return {(_signed(e.hash), r, main if id(e) in self.inside and id(e) not in tops else page) for e, r in self.deletable()}
+
     def deletable(self) -> Iterator[tuple[Element, bool]]:
         """(element, whether it is running text) for what may be template: beside a main part anything, inside one
-        boxes; without a main part anything under the body."""
+        boxes, and each of several main parts; without a main part anything under the body."""
+        cards = {id(e) for e in self.mains} if len(self.mains) > 1 else set()
         for e, _ in self.order:
-            if e.hash and not e.holds and e.tag not in KEPT_WHOLE and e.tag != "#root":
+            if e.hash and not e.holds and (e.tag not in KEPT_WHOLE or id(e) in cards) and e.tag != "#root":
                 if id(e) in self.inside:
-                    if e.tag in BOXES:
+                    if e.tag in BOXES or id(e) in cards:
                         yield e, False
                 else:
                     yield e, not self.mains and e.tag not in BOXES and e.tag not in DROPPED
 
     def text(self, boxes: frozenset[int], running: frozenset[int]) -> str:
-        """The blocks of the main part, or of the body, without what is dropped by name or by hash."""
+        """The blocks of the page without what is dropped by name or by hash."""
         gone = {id(e) for e, is_text in self.deletable() if _signed(e.hash) in (running if is_text else boxes)}
         blocks: list[list[str]] = [[]]
-        for top in self.mains or [self.root]:
-            todo: list = [top]
-            while todo:
-                x = todo.pop()
-                if x is None:
-                    blocks.append([])
-                elif isinstance(x, str):
-                    blocks[-1].append(unescape(x))
-                elif x.tag == "header" and not x.dropped and id(x) in self.inside and x not in self.mains:
-                    # an article's own header has its title; the rest of it goes
-                    titles = [e for e, _ in _walk(x) if e.tag in HEADINGS and not e.dropped]
-                    todo += [None, *[y for e in reversed(titles) for y in (e, None)]]
-                elif not x.dropped and id(x) not in gone:
-                    if x.tag == "br":
-                        blocks[-1].append(" ")
-                    block = x.tag in BLOCKS
-                    todo += [*([None] if block else []), *reversed(x.children), *([None] if block else [])]
+        todo: list = [self.root]
+        while todo:
+            x = todo.pop()
+            if x is None:
+                blocks.append([])
+            elif isinstance(x, str):
+                blocks[-1].append(unescape(x))
+            elif x.tag == "header" and not x.dropped and id(x) in self.inside and x not in self.mains:
+                # an article's own header has its title; the rest of it goes
+                titles = [e for e, _ in _walk(x) if e.tag in HEADINGS and not e.dropped]
+                todo += [None, *[y for e in reversed(titles) for y in (e, None)]]
+            elif not x.dropped and id(x) not in gone:
+                if x.tag == "br":
+                    blocks[-1].append(" ")
+                block = x.tag in BLOCKS
+                todo += [*([None] if block else []), *reversed(x.children), *([None] if block else [])]
         lines = (" ".join("".join(b).split()) for b in blocks)
         return "\n".join(x for x in lines if x)
 
@@ -224,34 +242,36 @@ def host_of(url: Column) -> Column:
 
 
 def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages: int = 4, box_ratio: float = 0.005, text_ratio: float = 0.3) -> DataFrame:
-    """(host, hash, running, n) of subtrees that recur on a host: beside at least ``min_pages`` different main parts, and
-    on more than ``box_ratio`` of the host's pages, or ``text_ratio`` where running text might be an article's."""
+    """(host, hash, running, n) of subtrees that recur on a host: on at least ``min_pages`` different pages, or in as many
+    different main parts, and on more than ``box_ratio`` of the host's pages, or ``text_ratio`` where running text might be an article's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, mains, hashes = [], [], []
+            hosts, whole, hashes = [], [], []
             for host, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = Page(x.as_py() or "")
                 hosts.append(host)
-                mains.append(page.main_hash())
-                hashes.append([{"hash": h, "running": r} for h, r in {(_signed(e.hash), r) for e, r in page.deletable()}])
-            kind = pa.list_(pa.struct([("hash", pa.int64()), ("running", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(mains, pa.int64()), pa.array(hashes, kind)], names=["host", "main", "found"])
-
-    found = pages.select(host_of(F.col(url)).alias("host"), html).mapInArrow(run, "host string, main bigint, found array<struct<hash: bigint, running: boolean>>")
-    seen = cut(found.select("host", "main", F.explode_outer("found").alias("f")).groupBy("host", "main", F.col("f.hash").alias("hash"), F.col("f.running").alias("running")).agg(F.count("*").alias("n")))
-    totals = seen.groupBy("host", "main").agg(F.max("n")).groupBy("host").agg(F.count("*").alias("pages"))
+                whole.append(_signed(page.root.hash))
+                hashes.append([{"hash": h, "running": r, "once": o} for h, r, o in page.found()])
+            kind = pa.list_(pa.struct([("hash", pa.int64()), ("running", pa.bool_()), ("once", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(hashes, kind)], names=["host", "page", "found"])
+
+    found = pages.select(host_of(F.col(url)).alias("host"), html).mapInArrow(run, "host string, page bigint, found array<struct<hash: bigint, running: boolean, once: bigint>>")
+    no_hash = F.array(F.struct(F.lit(None).cast("bigint").alias("hash"), F.lit(None).cast("boolean").alias("running"), F.col("page").alias("once")))
+    each = found.select("host", F.explode(F.concat(no_hash, "found")).alias("f"))
+    seen = cut(each.groupBy("host", F.col("f.hash").alias("hash"), F.col("f.running").alias("running"), F.col("f.once").alias("once")).agg(F.count("*").alias("n")))
+    totals = seen.filter("hash IS NULL").groupBy("host").agg(F.count("*").alias("pages"))
     counted = seen.filter(F.col("hash").isNotNull()).groupBy("host", "hash", "running").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     ratio = F.when(F.col("running"), F.lit(text_ratio)).otherwise(F.lit(box_ratio))
     return counted.join(totals, "host").filter(F.col("n") > F.col("pages") * ratio).select("host", "hash", "running", "n")
 
 
 def main_text(pages: DataFrame, *, url: str = "url", html: str = "html", keep: list[str] | None = None, broadcast_subtrees: int = 200_000) -> DataFrame:
-    """``pages`` (columns ``keep``, or all but the html) and ``text``: the blocks of the article in page order, one a
+    """``pages`` (columns ``keep``, or all but the html) and ``text``: the blocks that are not template in page order, one a
     line, white space inside a block made one space, character references decoded.
 
-    A null or empty html, or a page of template alone, has an empty text. A page without an article or main element is
-    taken as a whole. Pages without a host count as of one host. Copies of a page count as one, so that they make no
+    A null or empty html, or a page of template alone, has an empty text. Text beside an article or main element stays
+    unless it recurs or names itself. Pages without a host count as of one host. Copies of a page count as one, so that they make no
     template; every row keeps its own result. A column ``text`` of ``pages`` is replaced. The recurring subtrees are
     broadcast up to ``broadcast_subtrees`` and joined on the host by a shuffle beyond.
     """
