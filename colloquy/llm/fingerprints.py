@@ -2,8 +2,10 @@
 
 The Shannon entropy of every 64-byte window is taken in steps; how often each step occurs over the whole corpus ranks
 it, rarest first. In each run of 64 windows the leftmost of lowest rank scores, and windows that score often enough
-are features. Their hashes go into 2048-bit filters, a new one each time the last is full. Two digests are compared
-filter by filter through shared bits, less what filters of that fill share by chance.
+are features. Their hashes go into 2048-bit filters, a new one each time the last is full. Short texts have filters of
+all their small windows, and texts of a middle length both kinds, an empty filter between them: so a text that an edit
+takes over the border still shares a kind with what it was. Two digests are compared filter by filter, in one kind that
+both have, through shared bits, less what filters of that fill share by chance.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ POPULAR = 16
 #: Texts under this many bytes are too short for rarity to choose from: all their windows of SMALL bytes are features.
 SHORT = 256
 SMALL = 12
+#: Texts under this many bytes have their small windows too. Two thirds of a text's characters are a third of its bytes
+#: at least, so a text from here on that keeps as many is not under SHORT.
+BOTH = 3 * SHORT
 BITS = 2048
 PROBES = 5
 PER_FILTER = 160
@@ -107,14 +112,10 @@ def _hashes(windows: np.ndarray) -> list[int]:
 
 
 def features(data: bytes, steps: np.ndarray | None, ranks: np.ndarray) -> list[int]:
-    """Hashes of the selected windows in order, each once. A text under SMALL bytes is one feature."""
-    if not data:
+    """Hashes of the windows selected by rarity in order, each once; none under SHORT bytes."""
+    if steps is None or len(data) < SHORT:
         return []
     view = np.frombuffer(data, dtype=np.uint8)
-    if steps is None or len(data) < SHORT:
-        small = view if len(view) >= SMALL else np.pad(view, (0, SMALL - len(view)))
-        small = np.lib.stride_tricks.sliding_window_view(small, SMALL)
-        return list(dict.fromkeys(_hashes(np.pad(small, ((0, 0), (0, WINDOW - SMALL))))))
     at = _leftmost_lowest(ranks[steps])
     votes = np.bincount(at)
     keep = np.flatnonzero(votes >= min(POPULAR, len(at)))
@@ -124,6 +125,17 @@ def features(data: bytes, steps: np.ndarray | None, ranks: np.ndarray) -> list[i
     return list(dict.fromkeys(_hashes(np.lib.stride_tricks.sliding_window_view(view, WINDOW)[keep])))
 
 
+def small_features(data: bytes) -> list[int]:
+    """Hashes of all windows of SMALL bytes in order, each once; none from BOTH bytes on. A text under SMALL bytes is
+    one feature."""
+    if not data or len(data) >= BOTH:
+        return []
+    view = np.frombuffer(data, dtype=np.uint8)
+    small = view if len(view) >= SMALL else np.pad(view, (0, SMALL - len(view)))
+    small = np.lib.stride_tricks.sliding_window_view(small, SMALL)
+    return list(dict.fromkeys(_hashes(np.pad(small, ((0, 0), (0, WINDOW - SMALL))))))
+
+
 _SHIFTS = np.arange(PROBES, dtype=np.uint64) * np.uint64(11)
 
 
@@ -137,13 +149,23 @@ def filters(found: list[int]) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def _kinds(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The filters of ranked and of small windows; the empty filter between them is in neither."""
+    empty = np.flatnonzero(~packed.any(axis=1))
+    return (packed[: empty[0]], packed[empty[0] + 1 :]) if len(empty) else (packed, packed[:0])
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """From 0 to 1: the mean, over the filters of the shorter digest, of the best match in the other. Two empty
-    digests are equal; an empty one is like no other."""
+    """From 0 to 1: the mean, over the filters of the shorter digest, of the best match in the other, by small windows
+    where both have them and by ranked ones elsewhere. Two empty digests are equal; an empty one is like no other."""
     if len(a) == 0 or len(b) == 0:
         return float(len(a) == len(b))
     if len(a) == len(b) and np.array_equal(a, b):
         return 1.0
+    (ranked_a, small_a), (ranked_b, small_b) = _kinds(a), _kinds(b)
+    a, b = (small_a, small_b) if len(small_a) and len(small_b) else (ranked_a, ranked_b)
+    if len(a) == 0 or len(b) == 0:
+        return 0.0
     if len(a) > len(b):
         a, b = b, a
     wide = np.unpackbits(b, axis=1).astype(np.float32)
@@ -210,9 +232,11 @@ class Fingerprint:
 
     def __init__(self, text: str, raw: bytes, steps: np.ndarray | None, ranks: np.ndarray):
         self.text, self.raw, self.steps = text, raw, steps
-        found = features(raw, steps, ranks)
-        self.packed = filters(found)
-        self.digest = written(self.packed, len(found))
+        ranked, small = features(raw, steps, ranks), small_features(raw)
+        self.packed = filters(ranked)
+        if small:
+            self.packed = np.concatenate([self.packed, np.zeros((1, BITS // 8), dtype=np.uint8), filters(small)])
+        self.digest = written(self.packed, len(ranked) + len(small))
 
 
 def fingerprint_each(texts: list[str], ranks: np.ndarray) -> list[Fingerprint]:
