@@ -71,7 +71,7 @@ def signal_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outermost object of a text around the props: fields trimmed, cut and clamped; broken ones are null."""
+    """The outermost object of a text around the props: how many fields it has, 0 if it is broken, and its length."""
     e = read(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
     said = F.concat(F.lit("here: "), F.when(F.col("event_id") % 13 == 0, F.lit("{broken")).otherwise(F.coalesce("props", F.lit("none"))), F.lit(" done"))
     found = F.regexp_extract(said, r"\{[\s\S]*\}", 0)
