@@ -1,21 +1,28 @@
 """Jaccard join on word n-grams as a blocked, sparse product of the document by n-gram incidence with itself.
 
-Only the columns that can decide are multiplied. N-grams are ordered by how common they are (counted over all
-documents, in buckets); two documents that are alike enough share one of their first few in that order, at positions
-that leave room for the overlap they need. Each n-gram's column gives pairs of its first document with every other;
-their overlaps are then counted in blocks over the whole rows. A pair of two others of a column is only looked at
-while they are not known to be connected: that keeps a group of many copies from giving all its pairs, and no link
-between documents that are not otherwise connected is lost. Before overlaps are counted, pairs go whose 512-bit parity
-sketches differ in more bits than sets of their sizes may differ in n-grams: each n-gram that only one has flips one bit.
+Two sets of given sizes that link differ in a bounded number of n-grams. So the columns of the incidence are dealt into
+more blocks than that, by their hashes: in some of its blocks a document then has the very n-grams of any other that it
+links with, and the bound tells how many blocks these are at least. Blocks that hold the same n-grams are counted for
+each pair; a pair with fewer than its bound is discarded, and only for the others are overlaps accumulated, range by
+range of n-grams, until a pair is sure to stay below what its sizes ask for, or has been counted to the end. Between the
+two, pairs go whose 512-bit parity sketches differ in more bits than sets of their sizes may differ in n-grams: each
+n-gram that only one has flips one bit.
+
+A group of many copies never gives all its pairs: blocks are first paired with their best document alone, and two others
+only while they are not known to be connected. No link between documents that are not otherwise connected is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,11 +117,11 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(_mixed(runs))
 
 
-def _portions(column: pa.Array, most_chars: int = 1_000_000) -> Iterator[list[str]]:
+def _portions(texts: Iterable[str], most_chars: int = 500_000) -> Iterator[list[str]]:
     held, size = [], 0
-    for x in column:
-        held.append(x.as_py() or "")
-        size += len(held[-1])
+    for x in texts:
+        held.append(x)
+        size += len(x)
         if size >= most_chars:
             yield held
             held, size = [], 0
@@ -122,9 +129,9 @@ def _portions(column: pa.Array, most_chars: int = 1_000_000) -> Iterator[list[st
         yield held
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    for texts in _portions(column):
-        for words in word_hashes_of_each(texts):
+def _sets(texts: Iterable[str], k: int) -> Iterator[np.ndarray]:
+    for part in _portions(texts):
+        for words in word_hashes_of_each(part):
             yield shingle_set(words, k)
 
 
@@ -135,27 +142,6 @@ def _node(found: np.ndarray) -> int:
     return int(_mixed(np.array([folded], dtype=np.uint64)).view(np.int64)[0])
 
 
-def commonness(docs: DataFrame, *, text: str, k: int, bits: int) -> np.ndarray:
-    """How many (document, n-gram) entries fall into each of 2**bits buckets of n-grams, over all documents. The
-    buckets are a fixed number, so that is what comes to the driver and goes to the executors at any size; they only
-    decide the order of n-grams, hence cost and not results."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.int64)
-        for batch in batches:
-            found = list(_sets(batch.column(0), k))
-            if found:
-                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["bucket", "n"])
-
-    rows = docs.select(text).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, dtype=np.int64)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    # ranks by quarter octaves are as good as counts, and small
-    return np.minimum(np.log2(out + 1.0) * 64, 65535).astype(np.uint16)
-
-
 #: Columns of a set's parity sketch.
 PARITY = tuple(f"s{i}" for i in range(8))
 
@@ -167,39 +153,203 @@ def _parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def sketch(docs: DataFrame, *, doc_id: str, text: str, k: int, percent: int, common: np.ndarray, bits: int) -> DataFrame:
-    """(doc_id, n, node, s0..s7, prefix): the size of a document's set, its identity, its parity sketch, and the n-grams
-    among which two sets of the wanted likeness must share one, rarest first."""
-    longs = [T.StructField(c, T.LongType()) for c in ("n", "node", *PARITY)]
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *longs, T.StructField("prefix", T.ArrayType(T.LongType()))])
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+class Blocks:
+    """How the columns are dealt into blocks, by classes of set sizes.
+
+    A pair counts under the class of its larger set, of sizes ``low`` to ``high``: it differs in ``most`` n-grams at most,
+    so of ``most + 1 + spare`` blocks at least ``1 + spare`` are the same in both. A block of ``weak`` n-grams or fewer
+    says little. Documents leave theirs out, unless they have more than ``spare`` of them."""
+
+    RATIO = 1.5
+    MOST = 1 << 44  # no text has more n-grams
+
+    def __init__(self, percent: int):
+        self.percent, self.low, self.plan = percent, [1], []
+        while self.low[-1] < self.MOST:
+            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * self.RATIO)))
+            self.plan.append(self._planned(self.low[-2], self.low[-1] - 1))
+
+    def _planned(self, low: int, high: int) -> tuple[int, int, int]:
+        """(blocks, spare, weak) of a class; no blocks where only equal sets link."""
+        most = (100 - self.percent) * 2 * high // (100 + self.percent)
+        if most == 0:
+            return 0, 0, 0
+        for weak in (1, 0):
+            spare = 0
+            for _ in range(30):
+                fill = low / (most + 1 + spare)
+                mean = (most + 1 + spare) * np.exp(-fill) * (1 + fill * weak)
+                spare, was = int(np.ceil(mean + 4 * np.sqrt(mean) + 1)), spare
+                if spare == was or spare > most + 8:
+                    break
+            if spare <= max(4, most * 0.35):
+                break
+        spare = min(spare, most + 8)
+        return most + 1 + spare, spare, weak
+
+    def first(self, n: int) -> int:
+        return bisect_right(self.low, n) - 1
+
+    def classes(self, n: int) -> range:
+        """Those that a set of n may be paired under: its own, and those of larger sets that it could link with."""
+        first = last = self.first(n)
+        while self.low[last + 1] * self.percent <= n * 100:
+            last += 1
+        return range(first, last + 1)
+
+    def signatures(self, found: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Of a sorted set: how many equal blocks a pair under each of its classes has at least as far as this set tells,
+        or the negative of how many two sets have that leave out none of theirs, as this one does; and the hashes of its
+        blocks, the class in the upper byte."""
+        slack, out = [], []
+        for c in self.classes(len(found)) if len(found) else ():
+            blocks, spare, weak = self.plan[c]
+            if blocks == 0:
+                slack.append(1)
+                continue
+            at = (found >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)  # in order, as the set is
+            size = np.bincount(at.astype(np.int64), minlength=blocks)
+            sums, there = np.zeros(blocks, dtype=np.uint64), np.flatnonzero(size)
+            sums[there] = np.add.reduceat(found, (np.cumsum(size) - size)[there])
+            number = np.arange(blocks, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            hashes = _mixed(sums + number) >> np.uint64(8) | np.uint64(c << 56)
+            little = size <= weak
+            few = int(little.sum())
+            slack.append(spare + 1 - few if few <= spare else -spare - 1)
+            out.append(hashes[~little] if few <= spare else hashes)
+        return slack, np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def _packed(sig: np.ndarray, node: np.ndarray) -> bytes:
+    """Entries of some blocks: signatures in order as differences, and where their documents stand in a list, each as
+    planes of bytes, most of which are then zero and compress."""
+    order = np.argsort(sig)
+    names, at = np.unique(node[order], return_inverse=True)
+    planes = lambda x: x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return struct.pack("<II", len(sig), len(names)) + planes(np.diff(sig[order], prepend=np.uint64(0))) + planes(at.astype("<u4")) + names.tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m = struct.unpack_from("<II", data)
+    plane = lambda offset, width: np.frombuffer(data, np.uint8, n * width, offset).reshape(width, n).T.copy()
+    sig = np.cumsum(plane(8, 8).view("<u8").ravel(), dtype=np.uint64)
+    return sig, np.frombuffer(data, "<i8", m, 8 + 12 * n)[plane(8 + 8 * n, 4).view("<u4").ravel()]
+
+
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Texts go to Python so many rows at a time: what JVM and Python hold of them stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def incidence(docs: DataFrame, *, k: int, percent: int, parts: int, most_entries: int = 500_000) -> DataFrame:
+    """Of (doc_id, text): rows (doc_id, text_hash, n, node, kind, slack, signatures, s0..s7) of documents with their
+    set's size, identity and parity sketch, and rows (part, entries) with the signatures of all blocks in parts by hash. Equal sets in one task
+    give their entries once, so that copies are brought together before anything is shuffled."""
+    fields = [("n", "bigint"), ("node", "bigint"), ("kind", "int"), ("slack", "array<int>"), ("signatures", "int"), *[(c, "bigint") for c in PARITY], ("part", "int"), ("entries", "binary")]
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), *[T.StructField(c, T._parse_datatype_string(t)) for c, t in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value.astype(np.uint64) << np.uint64(48)
+        plan, seen, held, size = Blocks(percent), set(), [], 0
+
+        def entries(doc_id: pa.DataType) -> Iterator[pa.RecordBatch]:
+            sig, node = np.concatenate([s for _, s in held]), np.repeat(np.array([n for n, _ in held], dtype=np.int64), [len(s) for _, s in held])
+            part = (_mixed(sig) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            sig, node, part = sig[order], node[order], part[order]
+            there, begin = np.unique(part, return_index=True)
+            end = np.append(begin[1:], len(part))
+            for i in range(0, len(there), 64):
+                blobs = [_packed(sig[a:b], node[a:b]) for a, b in zip(begin[i : i + 64].tolist(), end[i : i + 64].tolist(), strict=True)]
+                none = [pa.nulls(len(blobs), t) for t in (doc_id, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), *[pa.int64()] * len(PARITY))]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(there[i : i + 64], pa.int32()), pa.array(blobs, pa.binary())], names=schema.names)
+
         for batch in batches:
-            sizes, nodes, parities, prefixes = [], [], [], []
-            for found in _sets(batch.column(1), k):
-                n = len(found)
-                # stable on sorted hashes: one order of all n-grams, the same in every document
-                order = np.argsort(ranks[(found >> np.uint64(64 - bits)).astype(np.int64)] | found >> np.uint64(16), kind="stable")
-                sizes.append(n)
-                nodes.append(_node(found))
+            sizes, nodes, firsts, slacks, counts, parities = [], [], [], [], [], []
+            for found in _sets((x.as_py() or "" for x in batch.column(1)), k):
+                node = _node(found) if len(found) else 0
+                slack, sig = plan.signatures(found)
+                sizes.append(len(found))
+                nodes.append(node)
+                firsts.append(plan.first(len(found)) if len(found) else 0)
+                slacks.append(slack)
+                counts.append(len(sig))
                 parities.append(_parity(found))
-                prefixes.append(found[order[: n + (n > 0) - -(-percent * n // 100)]].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64))
-            bits_of = np.array(parities, dtype=np.int64).reshape(len(parities), len(PARITY))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *[pa.array(bits_of[:, i]) for i in range(len(PARITY))], pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
+                if len(sig) and node not in seen:
+                    seen.add(node)
+                    held.append((node, sig))
+                    size += len(sig)
+            kinds = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.int32()), pa.array(slacks, pa.list_(pa.int32())), pa.array(counts, pa.int32())]
+            bits = np.array(parities, dtype=np.int64).reshape(len(parities), len(PARITY))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *kinds, *[pa.array(bits[:, i]) for i in range(len(PARITY))], pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=schema.names)
+            if size >= most_entries:
+                yield from entries(batch.column(0).type)
+                held, size = [], 0
+        if held:
+            yield from entries(batch.column(0).type)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
+
+
+class _Meeting:
+    """Entries of one part as they come: those whose signature has been seen with another node. Of each signature only
+    its first node is kept, so that a signature of very many documents takes no more room than any other."""
+
+    def __init__(self):
+        self.sig, self.node, self.out = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def meet(self, sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sig, node = np.concatenate([self.sig, sig]), np.concatenate([self.node, node])
+        old = np.arange(len(sig)) < len(self.sig)
+        out = np.append(self.out, np.zeros(len(sig) - len(self.out), bool))
+        order = np.lexsort((node, ~old, sig))
+        sig, node, old, out = sig[order], node[order], old[order], out[order]
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+        sig, node, old, out = sig[fresh], node[fresh], old[fresh], out[fresh]
+        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+        count = np.diff(np.append(begin, len(sig)))
+        several = np.minimum.reduceat(node, begin) != np.maximum.reduceat(node, begin) if len(begin) else np.zeros(0, bool)
+        told = several | out[begin]
+        give = np.repeat(told, count) & ~out
+        self.sig, self.node, self.out = sig[begin], node[begin], told
+        return sig[give], node[give]
+
+
+def shared_blocks(entries: DataFrame, *, most_entries: int = 1_000_000) -> DataFrame:
+    """(sig, node) of the blocks that more than one node has; from ``entries`` (part, entries)."""
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, held, size = None, _Meeting(), [], 0
+
+        def met() -> Iterator[pa.RecordBatch]:
+            sig, node = state.meet(np.concatenate([s for s, _ in held]), np.concatenate([n for _, n in held]))
+            for i in range(0, len(sig), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + 100_000].view(np.int64)), pa.array(node[i : i + 100_000])], names=["sig", "node"])
+
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and (part != now or size >= most_entries):
+                    yield from met()
+                    held, size = [], 0
+                if part != now:
+                    now, state = part, _Meeting()
+                held.append(_unpacked(data.as_py()))
+                size += len(held[-1][0])
+        if held:
+            yield from met()
+
+    return entries.select("part", "entries").repartition("part").sortWithinPartitions("part").mapInArrow(run, "sig bigint, node bigint")
 
 
 def _could_link(x: str, y: str, percent: int) -> Column:
-    """Bounds from sizes alone, and from the places of an n-gram if it is the first that both share."""
-    nx, ny, px, py = (F.col(f"{t}.{c}") for t, c in ((x, "n"), (y, "n"), (x, "pos"), (y, "pos")))
-    size = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
-    room = (F.least(nx - px, ny - py)) * (100 + percent) >= (nx + ny) * percent
-    return size & room
+    """Whether two sets are near enough in size."""
+    return F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
 
 
 def _may_differ(x: str, y: str, percent: int) -> Column:
@@ -208,55 +358,117 @@ def _may_differ(x: str, y: str, percent: int) -> Column:
     return bits * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, *, percent: int, block: int = 256) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets in ``sets`` (node, grams: 8 bytes each, sorted) are alike. The pairs of one a
-    are dealt out in blocks, each with a copy of a's set; a task holds one a and reads its b one by one."""
+def _need(x: str, y: str) -> Column:
+    """How many equal blocks a pair has at least. Negative numbers are of sets that give all their blocks."""
+    more = F.greatest(f"{x}.slack", f"{y}.slack")
+    return F.when(more > 0, more).otherwise(-more)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, broadcast_docs: int) -> DataFrame:
+    """(node, packed) of the ``wanted`` (node, rep: the doc_id and text_hash of one of its rows): texts, compressed."""
+    names = wanted.select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash"))
+    names = _small(names, broadcast_docs)
+    rows = docs.join(names, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            out = [squeeze.compress(x.as_py().encode("utf-8", "surrogatepass")) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "packed"])
+
+    # rows that repeat in every respect give a text more than once
+    return materialise(rows.mapInArrow(run, "node bigint, packed binary").groupBy("node").agg(F.first("packed").alias("packed")), "ngram-texts")
+
+
+def overlaps(head: np.ndarray, sets: list[np.ndarray], percent: int, ranges: int = 8) -> np.ndarray:
+    """Which of the ``sets`` link with ``head``: a row of the incidence times a block of others. Counts are accumulated
+    range by range of n-grams, and a set is discarded once what is left cannot bring it to what its size asks for."""
+    size = np.array([len(s) for s in sets])
+    need = -(-percent * (len(head) + size) // (100 + percent))
+    edges = [np.uint64((r << 64) // ranges) for r in range(1, ranges)]
+    cuts = np.array([[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]).reshape(len(sets), ranges + 1)
+    own = [0, *np.searchsorted(head, edges).tolist(), len(head)]
+    count, alive = np.zeros(len(sets), dtype=np.int64), np.flatnonzero(np.minimum(size, len(head)) >= need)
+    for r in range(ranges):
+        part = head[own[r] : own[r + 1]]
+        if len(alive) and len(part):
+            grams = np.concatenate([sets[i][cuts[i, r] : cuts[i, r + 1]] for i in alive.tolist()])
+            owner = np.repeat(alive, cuts[alive, r + 1] - cuts[alive, r])
+            at = np.searchsorted(part, grams)
+            at[at == len(part)] = 0
+            count += np.bincount(owner[part[at] == grams], minlength=len(sets))
+        left = np.minimum(len(head) - own[r + 1], size - cuts[:, r + 1])
+        alive = alive[count[alive] + left[alive] >= need[alive]]
+    linked = np.zeros(len(sets), dtype=bool)
+    linked[alive] = True
+    return linked
+
+
+def verify(pairs: DataFrame, texts: DataFrame, *, k: int, percent: int, broadcast_docs: int, block: int = 256) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets are alike; ``texts`` (node, packed) has both. The pairs of one a are dealt out
+    in blocks, each with a copy of a's text; a task holds a's set and some of the others at a time."""
     per_a = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = (
-        pairs.join(per_a, "a")
-        .select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("blk"), "b")
-        .join(sets.select(F.col("node").alias("b"), "grams"), "b")
-        .select("a", "blk", "b", "grams")
-    )
-    heads = (
-        per_a.join(sets.select(F.col("node").alias("a"), "grams"), "a")
-        .select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.lit(None).cast("long").alias("b"), "grams")
-    )
+    members = _small(pairs, broadcast_docs).join(texts.withColumnRenamed("node", "b"), "b").join(_small(per_a, broadcast_docs), "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("blk"), "b", "packed")
+    heads = _small(per_a, broadcast_docs).join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.lit(None).cast("long").alias("b"), "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, head = None, None
+        import zstandard
+
+        loosen, key, head, held, size = zstandard.ZstdDecompressor(), None, None, [], 0
+
+        def linked() -> list[tuple[int, int]]:
+            found = overlaps(head, [s for _, s in held], percent)
+            return [(key[0], b) for (b, _), yes in zip(held, found.tolist(), strict=True) if yes]
+
         for batch in batches:
-            a_out, b_out = [], []
-            for a, blk, b, grams in zip(*(batch.column(i) for i in range(4)), strict=True):
-                now = np.frombuffer(grams.as_buffer(), dtype="<u8")
-                if not b.is_valid:
-                    key, head = (a.as_py(), blk.as_py()), now.copy()
-                    continue
-                if key != (a.as_py(), blk.as_py()):
-                    raise ValueError("a block without its head")
-                at = np.searchsorted(head, now)
-                at[at == len(head)] = 0
-                overlap = int((head[at] == now).sum())
-                if 100 * overlap >= percent * (len(head) + len(now) - overlap):
-                    a_out.append(key[0])
-                    b_out.append(b.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+            out = []
+            columns = [batch.column(i).to_pylist() for i in range(3)]
+            at = 0
+            for texts in _portions(loosen.decompress(x.as_py()).decode("utf-8", "surrogatepass") for x in batch.column(3)):
+                for i, found in enumerate(_sets(texts, k), at):
+                    a, blk, b = (c[i] for c in columns)
+                    if b is None or size >= 1_000_000:
+                        out += linked() if held else []
+                        held, size = [], 0
+                    if b is None:
+                        key, head = (a, blk), found
+                        continue
+                    if key != (a, blk):
+                        raise ValueError("a block without its head")
+                    held.append((b, found))
+                    size += len(found)
+                at += len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        if held:
+            out = linked()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     dealt = heads.unionByName(members).repartition("a", "blk").sortWithinPartitions("a", "blk", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, broadcast_docs: int = 100_000, salts: int = 32) -> DataFrame:
     """(node, label) of every end of ``links`` (a, b): the least node that links lead to. Each round takes the least
-    label among neighbours and then that label's own; it ends when nothing changes."""
+    label among neighbours and then that label's own; it ends when nothing changes. Labels are broadcast while they are
+    few; beyond, the labels of labels are copied ``salts`` times, so that a label of very many nodes is dealt out."""
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    few = labels.count() <= broadcast_docs
+    spread = F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        known = labels.select(F.col("node").alias("_b"), "label")
+        near = both.join(F.broadcast(known) if few else known, both["b"] == known["_b"]).groupBy("a").agg(F.min("label").alias("near"))
+        stepped = labels.join(F.broadcast(near) if few else near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         far = labels.select(F.col("node").alias("_to"), F.col("label").alias("_far"))
-        new = stepped.join(far, stepped["label"] == far["_to"], "left").select("node", "old", F.least("label", "_far").alias("label"))
-        new = cut(new)
+        if few:
+            new = stepped.join(F.broadcast(far), stepped["label"] == far["_to"], "left")
+        else:
+            far = far.join(stepped.select(F.col("label").alias("_to")).distinct(), "_to", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            stepped = stepped.withColumn("_own", spread)
+            new = stepped.join(far, (stepped["label"] == far["_to"]) & (stepped["_own"] == far["_salt"]), "left")
+        new = cut(new.select("node", "old", F.least("label", "_far").alias("label")))
         labels = new.select("node", "label")
         if new.filter("label < old").isEmpty():
             return labels
@@ -267,15 +479,15 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _labelled(postings: DataFrame, labels: DataFrame | None, broadcast_rows: int) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame | None, broadcast_docs: int) -> DataFrame:
     if labels is None:
-        return postings.withColumn("label", F.col("node"))
-    known = _small(labels.select(F.col("node").alias("_n"), "label"), broadcast_rows)
-    return postings.join(known, postings["node"] == known["_n"], "left").withColumn("label", F.coalesce("label", "node")).drop("_n")
+        return rows.withColumn("label", F.col("node"))
+    known = _small(labels.select(F.col("node").alias("_n"), F.col("label").alias("_label")), broadcast_docs)
+    return rows.join(known, rows["node"] == known["_n"], "left").withColumn("label", F.coalesce("_label", "node")).drop("_n", "_label")
 
 
 def similarity_components(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bits: int = 18, rounds: int = 1, broadcast_docs: int = 100_000
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, rounds: int = 2, broadcast_docs: int = 100_000, docs_per_part: int = 2000, crowd: int = 64
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the size of its set of distinct k-word runs, and the least
     doc_id that links lead to, itself included. Two rows link when 100 * shared >= percent * united.
@@ -283,110 +495,93 @@ def similarity_components(
     Words are runs of anything but ASCII white space, A-Z lowered; a text with fewer than k words is one run; a null
     text, or one without words, has an empty set and links with nothing, not even its like. Rows of equal sets are one
     node. Null ids: the row takes part, and a component of such rows alone has a null id; equal ids may be in several
-    components. Sets are told apart by 64-bit hashes. ``rounds``: how often further heads are tried before the rest of
-    a column is paired; tables of up to ``broadcast_docs`` rows of a few numbers are broadcast. Neither changes results.
+    components. An empty table gives an empty result; other columns of ``docs`` play no part. Sets are told apart by
+    64-bit hashes. ``rounds``: how often blocks are paired with a best document before the rest; tables of up to
+    ``broadcast_docs`` rows of a few numbers are broadcast; blocks that more than ``crowd`` unconnected documents share
+    are left to documents that have too few others. None of these changes results.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    common = commonness(docs, text="text", k=k, bits=bits)
-    rows = materialise(sketch(docs, doc_id="doc_id", text="text", k=k, percent=percent, common=common, bits=bits), "ngram-sketch")
-    full = rows.filter("n > 0")
-    # one node for each distinct set
-    info = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *PARITY)]), "ngram-nodes")
-    entries = full.groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = entries.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram")
-    columns = materialise(entries.join(shared, "gram"), "ngram-columns")
-    _forget(spark)
-    # a column's head is the document that shares most of its first n-grams with others: what copies are copies of
-    commons = cut(columns.groupBy("node").agg(F.count("*").alias("commons")))
-    share = F.col("commons") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    columns = columns.join(commons, "node").withColumn("rank", F.struct(share.alias("share"), F.col("n").alias("n"), F.col("node").alias("node"), F.col("pos").alias("pos"))).drop("commons")
-    heads = columns.groupBy("gram").agg(F.max("rank").alias("h"))
-    columns = materialise(columns.join(heads, "gram"), "ngram-headed")
-    sized = info.select("node", "n", *PARITY)
+    parts = max(16, min(1 << 20, docs.count() // docs_per_part))
+    spark = docs.sparkSession
+    with _batches_of(spark, 1000):
+        written = materialise(incidence(docs, k=k, percent=percent, parts=parts), "ngram-incidence")
+    rows = written.filter("part IS NULL").select("doc_id", "text_hash", "n", "node", "kind", "slack", "signatures", *PARITY)
+    met = materialise(shared_blocks(written.filter("part IS NOT NULL")), "ngram-blocks")
+    # one node for each distinct set that shares a block
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "kind", "slack", "signatures", *PARITY)])
+    met_nodes = met.groupBy("node").agg(F.count("*").alias("commons"))
+    info = materialise(nodes.join(met_nodes, "node"), "ngram-nodes")
+    about = info.select(F.col("node").alias("_node"), "n", "kind", "slack", (F.col("commons") / F.col("signatures")).alias("share"))
+    class_at = (F.shiftrightunsigned("sig", 56) - F.col("kind") + 1).cast("int")
+    blocks = met.join(_small(about, broadcast_docs), met["node"] == F.col("_node")).select("sig", "node", "n", F.element_at("slack", class_at).alias("slack"), "share")
+    # a block's head is the document that shares most of its blocks with others: what copies are copies of
+    best = F.max(F.struct("share", "n", "node", "slack")).over(W.partitionBy("sig"))
+    blocks = materialise(blocks.withColumn("h", best).select("sig", "node", "n", "slack", "share", "h"), "ngram-headed")
+    sketches = info.select("node", "n", *PARITY)
+    with _batches_of(spark, 1000):
+        texts = _texts(docs, info.select("node", "rep"), broadcast_docs)
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
 
     def link(pairs: DataFrame) -> None:
-        """Counts the overlaps of the pairs that are not connected yet and could link, and takes in what links."""
+        """Accumulates the overlaps of pairs (a, b) and takes in what links."""
         nonlocal links, labels
-        if labels is not None:
-            left, right = (_small(labels.select(F.col("node").alias(f"_{s}"), F.col("label").alias(f"_l{s}")), broadcast_docs) for s in "ab")
-            pairs = pairs.join(left, pairs["a"] == left["_a"], "left").join(right, pairs["b"] == right["_b"], "left")
-            pairs = pairs.filter(F.coalesce("_la", "a") != F.coalesce("_lb", "b"))
-        pairs = pairs.select("a", "b").join(sized.alias("p"), F.col("a") == F.col("p.node")).join(sized.alias("q"), F.col("b") == F.col("q.node")).filter(_may_differ("p", "q", percent))
-        pairs = cut(pairs.select("a", "b"))
+        few = _small(sketches, broadcast_docs)
+        pairs = cut(pairs.join(few.alias("p"), F.col("a") == F.col("p.node")).join(few.alias("q"), F.col("b") == F.col("q.node")).filter(_may_differ("p", "q", percent)).select("a", "b"))
         if pairs.isEmpty():
             return
-        wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(info.select("node", "rep"), "node"))
-        found = cut(verify(pairs, _sets_of(docs, wanted, k, broadcast_docs), percent=percent))
-        _forget(spark)
-        if found.isEmpty():
-            return
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        _forget(spark)
-
-    # first each document with the heads of its columns
-    stars = columns.filter("node <> h.node").select("node", "h", F.struct("n", "pos").alias("x")).filter(_could_link("x", "h", percent))
-    link(stars.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct())
-    # then, in columns that hold more than one component, with the best of those not connected to the head, some times
-    live = columns
-    for done in range(rounds + 1):
-        marked = _labelled(live.select("gram", "node", "n", "pos", "rank", "h"), labels, broadcast_docs)
-        own = F.max(F.when(F.col("node") == F.col("h.node"), F.col("label")))
-        mixed = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), own.alias("head_label")).filter("lo <> hi").select("gram", "head_label")
-        marked = marked.join(mixed, "gram").withColumn("out", F.col("label") != F.col("head_label")).drop("head_label")
-        live = cut(marked)
+        with _batches_of(spark, 1000):
+            found = cut(verify(pairs, texts, k=k, percent=percent, broadcast_docs=broadcast_docs))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links, broadcast_docs)
+
+    def stars(heads: DataFrame) -> DataFrame:
+        """For each node the head with which it has most equal blocks, if they are half of what a link takes."""
+        near = heads.filter("node <> h.node").select("node", "h", F.struct("n", "slack").alias("x")).filter(_could_link("x", "h", percent))
+        counted = near.select(F.col("h.node").alias("a"), F.col("node").alias("b"), _need("x", "h").alias("need")).repartition("b").groupBy("b", "a").agg(F.count("*").alias("c"), F.min("need").alias("need"))
+        return counted.filter("2 * c >= need").groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
+
+    link(stars(blocks))
+    # then, in blocks that hold more than one component, with the best of those not connected to the head
+    live = blocks
+    for done in range(1, rounds + 1):
+        marked = _labelled(live.select("sig", "node", "n", "slack", "share", "h"), labels, broadcast_docs)
+        by_sig = W.partitionBy("sig")
+        own = F.max(F.when(F.col("node") == F.col("h.node"), F.col("label"))).over(by_sig)
+        marked = marked.withColumn("own", own).withColumn("hi", F.max("label").over(by_sig)).withColumn("lo", F.min("label").over(by_sig))
+        live = materialise(marked.filter("lo <> hi").select("sig", "node", "n", "slack", "share", "h", "label", (F.col("label") != F.col("own")).alias("out")), "ngram-live")
         if live.isEmpty() or done == rounds:
             break
-        next_heads = live.filter("out").groupBy("gram").agg(F.max(F.struct("rank", "label")).alias("g"))
-        tried = live.join(next_heads, "gram").filter("label <> g.label").select("node", F.col("g.rank").alias("g"), F.struct("n", "pos").alias("x"))
-        link(tried.filter(_could_link("x", "g", percent)).select(F.col("g.node").alias("a"), F.col("node").alias("b")).distinct())
-    # and last with everything else in such a column
-    live = live.filter("node <> h.node").select("gram", "node", "pos", "label", "out").join(sized, "node")
-    rest = (
-        live.filter("out").alias("x")
-        .join(live.alias("y"), F.col("x.gram") == F.col("y.gram"))
-        .filter("x.label <> y.label AND (NOT y.out OR x.node < y.node)")
-        .filter(_could_link("x", "y", percent) & _may_differ("x", "y", percent))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
-    )
-    link(rest)
-
-    members = _labelled(rows.select("doc_id", "n", "node"), labels, broadcast_docs)
-    least = members.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")).select(F.col("label").alias("_label"), "component_id")
-    return members.join(least, (members["label"] == least["_label"]) & (members["n"] > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        second = F.max(F.when(F.col("out"), F.struct("share", "n", "node", "slack", "label"))).over(by_sig)
+        tried = live.withColumn("g", second).filter("label <> g.label").select("node", "n", "slack", F.col("g").alias("h"))
+        link(stars(tried))
+    # and last every pair of components in such a block, for documents that have too few blocks without a crowd
+    crowded = F.sum(F.col("out").cast("int")).over(W.partitionBy("sig")) > crowd
+    seen = live.withColumn("crowded", crowded).select("sig", "node", "n", "slack", "label", "out", "crowded", F.shiftrightunsigned("sig", 56).alias("class"))
+    in_crowds = F.sum(F.col("crowded").cast("int")).over(W.partitionBy("node", "class"))
+    seen = seen.withColumn("crowds", in_crowds).filter("NOT crowded OR crowds >= greatest(slack, 1)").withColumn("left_out", F.when(F.col("crowds") < F.greatest("slack", F.lit(1)), F.col("crowds")).otherwise(0))
+    seen = materialise(seen.join(_small(sketches.select(F.col("node").alias("_node"), *PARITY), broadcast_docs), seen["node"] == F.col("_node")).drop("_node"), "ngram-rest")
+    # sizes and sketches are conditions of the join itself: it gives no pair that they rule out
+    x, y = seen.filter("out").alias("x"), seen.alias("y")
+    apart = F.expr("x.label <> y.label AND (NOT y.out OR x.node < y.node)")
+    counted = (
+        x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & _could_link("x", "y", percent) & _may_differ("x", "y", percent))
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.class").alias("class"), _need("x", "y").alias("need"), F.greatest("x.left_out", "y.left_out").alias("left_out"))
+        .groupBy("a", "b", "class")
+        .agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("left_out").alias("left_out"))
     )
+    link(counted.filter("c + left_out >= need").select("a", "b").distinct())
 
-
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, broadcast_docs: int) -> DataFrame:
-    """(node, grams) of the wanted (node, rep): their texts are read again and only their sets are kept."""
-    reps = wanted.select(F.col("rep").alias("_rep")).distinct()
-    if wanted.count() <= broadcast_docs:
-        reps = F.broadcast(reps)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(_sets(batch.column(0), k))
-            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "grams"])
-
-    texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(run, "node bigint, grams binary")
-    kept = wanted.select(F.col("node").alias("_node"))
-    if wanted.count() <= broadcast_docs:
-        kept = F.broadcast(kept)
-    sets = sets.join(kept, sets["node"] == kept["_node"], "left_semi")
-    # equal rows give a set more than once
-    return materialise(sets.groupBy("node").agg(F.first("grams").alias("grams")), "ngram-sets")
-
-
-def _forget(spark) -> None:
-    """Lets Spark drop the shuffle files of finished steps now rather than when the driver next collects garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # nodes of several rows, and those that links lead from, have a component to look up
+    least = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    if labels is None:
+        shared = least.filter("rows > 1").select(F.col("node").alias("_node"), F.col("least").alias("component_id"))
+    else:
+        ends = _small(labels.select(F.col("node").alias("_n"), "label"), broadcast_docs)
+        known = cut(least.join(ends, least["node"] == ends["_n"], "left").filter("rows > 1 OR _n IS NOT NULL").select("node", "least", F.coalesce("label", "node").alias("label")))
+        per_label = cut(known.groupBy("label").agg(F.min("least").alias("component_id")))
+        shared = known.join(_small(per_label, broadcast_docs), "label").select(F.col("node").alias("_node"), "component_id")
+    shared = cut(shared)
+    return rows.join(_small(shared, broadcast_docs), (rows["node"] == F.col("_node")) & (rows["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
