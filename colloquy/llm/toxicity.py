@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 24
 HIDDEN, ATTEND, WORD_DIM, CHAR_DIM = 8, 8, 8, 8
 CHAR_BUCKETS = 1 << 14
 GRAMS = (3, 4, 5)
@@ -133,7 +133,7 @@ def _cut(ids: np.ndarray) -> np.ndarray:
 class Scorer:
     """Scores texts; keeps the projected inputs of words it has seen, up to a number of words."""
 
-    def __init__(self, model: Model, most_words: int = 200_000):
+    def __init__(self, model: Model, most_words: int = 50_000):
         self.m, self.most = model, most_words
         self.numbers: dict[str, int] = {}
         self._empty()
@@ -167,8 +167,21 @@ class Scorer:
         return np.maximum.reduceat(found, np.cumsum([0] + [len(c) for c in cuts[:-1]]))
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        """Probabilities; a text without words says nothing and scores 0."""
         a, b = self.m.scale
-        return 1.0 / (1.0 + np.exp(-np.clip(self.logits(texts).astype(np.float64) * a + b, -30, 30)))
+        said = np.array([_WORD.search(t) is not None for t in texts])
+        return np.where(said, 1.0 / (1.0 + np.exp(-np.clip(self.logits(texts).astype(np.float64) * a + b, -30, 30))), 0.0)
+
+
+def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of rows of ``values`` by where they go, in n rows."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        place = at[order]
+        begins = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        out[place[begins]] = np.add.reduceat(values[order], begins, axis=0)
+    return out
 
 
 def _gradients(m: Model, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -191,81 +204,112 @@ def _gradients(m: Model, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[
     dx = np.zeros_like(x)
     for k, way in enumerate("fb"):
         U, dh = p[f"U{way}"], np.zeros((n, HIDDEN), np.float32)
-        dU, dproj = np.zeros_like(U), np.zeros((len(x), 3 * HIDDEN), np.float32)
+        dU, steps = np.zeros_like(U), np.zeros((at.shape[1], n, 3 * HIDDEN), np.float32)
         for t, h, z, r, fresh, yn in reversed(kept[way]):
             dh = dh + dboth[t, :, k * HIDDEN : (k + 1) * HIDDEN]
             dn = dh * (1 - z) * (1 - fresh * fresh)
             dz, dr = dh * (h - fresh) * z * (1 - z), dn * yn * r * (1 - r)
             dy = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(dproj, at[:, t], np.concatenate([dz, dr, dn], axis=1))
+            steps[t] = np.concatenate([dz, dr, dn], axis=1)
             dU += h.T @ dy
             dh = dh * z + dy @ U.T
+        dproj = _summed(at.T.ravel(), steps.reshape(-1, 3 * HIDDEN), len(x))
         g[f"U{way}"], g[f"W{way}"], g[f"c{way}"] = dU, x.T @ dproj, dproj.sum(axis=0)
         dx += dproj @ p[f"W{way}"].T
     return g, dx, logit
 
 
-def _association(split: list[list[str]], toxic: np.ndarray, keys) -> dict:
-    """Smoothed log odds of a key's texts being toxic."""
-    seen: dict = {}
-    for words, y in zip(split, toxic, strict=True):
-        for k in keys(words):
-            c = seen.setdefault(k, [0, 0])
-            c[y] += 1
+def _log_odds(seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of a text being toxic for each row of ``seen``, the numbers of clean and toxic texts with it."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int(len(toxic) - toxic.sum()))
-    return {k: float(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1))) * min(1.0, (a + b) / 4) for k, (a, b) in seen.items()}
+    odds = np.log((seen[:, 1] + 0.5) / (n1 + 1)) - np.log((seen[:, 0] + 0.5) / (n0 + 1))
+    return np.where(seen.sum(axis=1) > 0, odds * np.minimum(1.0, seen.sum(axis=1) / 4), 0.0)
+
+
+def _numbered(texts: Iterable[str]) -> tuple[list[str], list[np.ndarray]]:
+    """All words in order, and each text as numbers of its words from 1: texts are not held as words."""
+    first: dict[str, int] = {}
+    found = [np.array([first.setdefault(w, len(first)) for w in words_of(t)], dtype=np.int32) for t in texts]
+    words = sorted(first)
+    place = np.empty(len(words), dtype=np.int32)
+    place[[first[w] for w in words]] = np.arange(1, len(words) + 1, dtype=np.int32)
+    return words, [place[ids] for ids in found]
 
 
-def train(texts: list[str], toxic: np.ndarray, *, prior: float, most_words: int = 8000, epochs: int = 6, batch: int = 64, seed: int = 7) -> Model:
+def train(texts: Iterable[str], toxic: np.ndarray, *, prior: float, most_words: int = 8000, epochs: int = 5, batch: int = 64, seed: int = 7, tries: int = 4) -> Model:
     """A model from labelled texts; ``prior``: the share of toxic texts where it will be used, for calibration. The
-    first dimension of each embedding starts from how its word or n-gram goes with the label."""
-    split, toxic = [words_of(t) for t in texts], np.asarray(toxic, dtype=np.int64)
+    first dimension of each embedding starts from how its word or n-gram goes with the label. A toxic text trains by its
+    strongest window, a clean one by the strongest of ``tries`` of its windows, new ones each epoch: all are clean. Every
+    fifth text of each kind only calibrates, so that scores mean the same for texts that were not learned from."""
+    toxic = np.asarray(toxic, dtype=np.int64)
     if len(set(toxic.tolist())) < 2:  # nothing to learn: everything has the prior
         m = Model.new({})
         m.scale = (0.0, float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))))
         return m
-    by_word = _association(split, toxic, lambda ws: set(ws))
-    chosen = sorted(by_word, key=lambda k: (-abs(by_word[k]), k))[:most_words]
-    m = Model.new({w: i for i, w in enumerate(sorted(chosen), 1)}, seed)
-    all_words = sorted(by_word)
+    rank = np.where(toxic == 1, np.cumsum(toxic), np.cumsum(1 - toxic))
+    apart = (rank % 5 == 0) & (min(toxic.sum(), (1 - toxic).sum()) >= 25)
+    all_words, split = _numbered(texts)
     grams, begins = char_grams(all_words) if all_words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    per_word = dict(zip(all_words, np.split(grams, begins[1:]), strict=True)) if all_words else {}
-    by_gram = _association(split, toxic, lambda ws: {g for w in set(ws) for g in per_word[w].tolist()})
-    for w, i in m.vocabulary.items():
-        m.p["words"][i, 0] = 0.3 * by_word[w]
-    for g, v in by_gram.items():
-        m.p["chars"][g, 0] = 0.15 * v
-    number = {w: i for i, w in enumerate(all_words, 1)}
-    word_ids = np.array([0] + [m.vocabulary.get(w, 0) for w in all_words])
-    ends = np.append(begins[1:], len(grams)) if all_words else begins
+    grams, ends = grams.astype(np.int32), np.append(begins[1:], len(grams)) if all_words else begins
+
+    def grams_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of words numbered from 0, and which of these words has them."""
+        size = (ends - begins)[words]
+        at = np.repeat(begins[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return grams[at], np.repeat(np.arange(len(words)), size)
+
+    with_word, with_gram = np.zeros((len(all_words) + 1, 2), np.int64), np.zeros((CHAR_BUCKETS, 2), np.int64)
+    for ids, y, aside in zip(split, toxic.tolist(), apart.tolist(), strict=True):
+        if aside:
+            continue
+        distinct = np.unique(ids)
+        with_word[distinct, y] += 1
+        with_gram[np.unique(grams_of(distinct - 1)[0]), y] += 1
+    by_word, by_gram = _log_odds(with_word, toxic[~apart]), _log_odds(with_gram, toxic[~apart])
+    chosen = np.sort(np.argsort(-np.abs(by_word[1:]), kind="stable")[:most_words])
+    m = Model.new({all_words[w]: i for i, w in enumerate(chosen.tolist(), 1)}, seed)
+    word_ids = np.zeros(len(all_words) + 1, dtype=np.int32)
+    word_ids[chosen + 1] = np.arange(1, len(chosen) + 1)
+    m.p["words"][1:, 0] = 0.3 * by_word[chosen + 1]
+    m.p["chars"][:, 0] = np.where(with_gram.sum(axis=1) > 0, 0.15 * by_gram, m.p["chars"][:, 0])
 
     def inputs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of some words (row 0 is padding), with their n-grams and whose these are."""
-        real = rows[rows > 0] - 1
-        which = np.concatenate([grams[begins[i] : ends[i]] for i in real]) if len(real) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(rows))[rows > 0], (ends - begins)[real])
+        which, owner = grams_of(rows[rows > 0] - 1)
+        owner = np.flatnonzero(rows > 0)[owner]
         chars = np.zeros((len(rows), CHAR_DIM), np.float32)
-        np.add.at(chars, owner, m.p["chars"][which])
+        if len(owner):  # n-grams of a word stand together, and each word has one
+            begins_of = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            chars[owner[begins_of]] = np.add.reduceat(m.p["chars"][which], begins_of, axis=0)
         x = np.concatenate([m.p["words"][word_ids[rows]], chars], axis=1)
         x[rows == 0] = 0
         return x, which, owner
 
-    cuts = [_cut(np.array([number[w] for w in ws], dtype=np.int64)) for ws in split]
+    cuts = [_cut(ids) for ids in split]
     rows, owners = np.concatenate(cuts), np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
     begin = np.cumsum([0] + [len(c) for c in cuts[:-1]])
+    size = np.array([len(c) for c in cuts])
+    del cuts, split
     rng, moment, square, step = np.random.default_rng(seed), {k: np.zeros_like(v) for k, v in m.p.items()}, {k: np.zeros_like(v) for k, v in m.p.items()}, 0
 
-    def logits() -> np.ndarray:
+    def logits(of: np.ndarray) -> np.ndarray:
         x = inputs(np.arange(len(all_words) + 1))[0]
-        return window_logits(rows, *[x @ m.p[f"W{w}"] + m.p[f"c{w}"] for w in "fb"], m.p)
+        return window_logits(rows[of], *[x @ m.p[f"W{w}"] + m.p[f"c{w}"] for w in "fb"], m.p)
 
     # before the network knows anything: the window with the strongest association
-    lean = np.array([0.0] + [by_word[w] + sum(by_gram[g] for g in per_word[w].tolist()) / 4 for w in all_words])
-    strength = np.sort(lean[rows], axis=1)[:, -3:].sum(axis=1)
-    for _ in range(epochs):
-        top = np.array([b + int(strength[b : b + len(c)].argmax()) for b, c in zip(begin, cuts, strict=True)])
-        clean = np.flatnonzero(toxic[owners] == 0)
-        chosen_rows = np.concatenate([top, rng.choice(clean, size=min(len(clean), len(top) // 2), replace=False)])
+    totals = np.add.reduceat(by_gram[grams], begins) / 4 if len(grams) else np.zeros(0)
+    lean = np.append(0.0, by_word[1:] + totals)
+    strength = np.concatenate([np.sort(lean[rows[i : i + 8192]], axis=1)[:, -3:].sum(axis=1) for i in range(0, len(rows), 8192)])
+    clean, bad = np.flatnonzero((toxic == 0) & ~apart), np.flatnonzero((toxic == 1) & ~apart)
+    toxic_windows = np.flatnonzero((toxic[owners] == 1) & ~apart[owners])
+    for epoch in range(epochs):
+        tried = (begin[clean] + (rng.random((tries, len(clean))) * size[clean]).astype(np.int64)).ravel()
+        if epoch:
+            looked = np.concatenate([toxic_windows, tried])
+            strength[looked] = logits(looked)
+        top = np.array([b + int(strength[b : b + n].argmax()) for b, n in zip(begin[bad].tolist(), size[bad].tolist(), strict=True)])
+        hard = tried.reshape(tries, -1)[strength[tried].reshape(tries, -1).argmax(axis=0), np.arange(len(clean))]
+        chosen_rows = np.concatenate([top, hard, rng.choice(tried, size=min(len(tried), (len(top) + len(hard)) // 2), replace=False)])
         rng.shuffle(chosen_rows)
         for i in range(0, len(chosen_rows), batch):
             part = chosen_rows[i : i + batch]
@@ -274,19 +318,18 @@ def train(texts: list[str], toxic: np.ndarray, *, prior: float, most_words: int
             x, which, owner = inputs(used)
             g, dx, _ = _gradients(m, at, x, toxic[owners[part]].astype(np.float32))
             dx[0] = 0
-            g["words"], g["chars"] = np.zeros_like(m.p["words"]), np.zeros_like(m.p["chars"])
-            np.add.at(g["words"], word_ids[used], dx[:, :WORD_DIM])
+            g["words"], g["chars"] = _summed(word_ids[used], dx[:, :WORD_DIM], len(m.p["words"])), _summed(which, dx[owner, WORD_DIM:], CHAR_BUCKETS)
             g["words"][0] = 0
-            np.add.at(g["chars"], which, dx[owner, WORD_DIM:])
-            step += 1
+            step, pace = step + 1, 0.012 * (1 - (epoch + i / len(chosen_rows)) / epochs)
             for k, v in g.items():
                 v = np.clip(v, -1, 1).astype(np.float32)
                 moment[k] += 0.1 * (v - moment[k])
                 square[k] += 0.001 * (v * v - square[k])
-                m.p[k] -= (0.01 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        strength = logits()
-    best = np.maximum.reduceat(strength, begin).astype(np.float64)
-    m.scale = _calibrated(best, toxic, prior)
+                m.p[k] -= (pace * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    judged = apart if apart.any() else np.ones(len(toxic), dtype=bool)
+    of = np.flatnonzero(judged[owners])
+    best = np.maximum.reduceat(logits(of), np.cumsum(size[judged]) - size[judged]).astype(np.float64)
+    m.scale = _calibrated(best, toxic[judged], prior)
     return m
 
 
@@ -311,11 +354,31 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+#: A model as rows: weights by name, the words of the vocabulary in their order, and the scale.
+_PARTS = "name string, shape array<bigint>, data binary"
+
+
+def _as_rows(m: Model) -> Iterator[tuple[str, list[int], bytes]]:
+    for name, x in m.p.items():
+        yield name, list(x.shape), x.astype("<f4").tobytes()
+    yield "vocabulary", [len(m.vocabulary)], "\n".join(m.vocabulary).encode("utf-8", "surrogatepass")
+    yield "scale", [2], np.array(m.scale, dtype="<f8").tobytes()
+
+
+def _from_rows(rows: Iterable[tuple[str, list[int], bytes]]) -> Model:
+    found = {name: (shape, data) for name, shape, data in rows}
+    shape, words = found.pop("vocabulary")
+    scale = np.frombuffer(found.pop("scale")[1], dtype="<f8").tolist()
+    vocabulary = {w: i for i, w in enumerate(words.decode("utf-8", "surrogatepass").split("\n") if shape[0] else [], 1)}
+    return Model(vocabulary, {k: np.frombuffer(data, dtype="<f4").reshape(shape).copy() for k, (shape, data) in found.items()}, (scale[0], scale[1]))
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = 4000, train_chars: int = 20_000) -> Model:
     """A model from the labels that are not held out. At most ``train_docs`` labelled texts of at most ``train_chars``
-    characters are used, a third of them toxic if there are as many, chosen by a hash of the id; that is what comes to
-    the driver. Of an id with several labels the highest counts; labels without a text are skipped; without labels of
-    both kinds every score is the share of toxic labels."""
+    characters are used, a third of them toxic if there are as many, chosen by a hash of the id. One task of an executor
+    trains on them; the driver gets the weights alone, about a megabyte. Of an id with several labels the highest counts;
+    labels without a text are skipped; without labels of both kinds, as in empty tables, every score is the share of
+    toxic labels."""
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~is_held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     n, n1 = known.agg(F.count("*"), F.sum("y")).first()
     prior = min(0.5, max(0.01, (n1 or 0) / max(1, n)))
@@ -328,18 +391,38 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         .select("doc_id", "text", "y")
         .orderBy("doc_id", "text")
         .limit(2 * train_docs)
-        .toArrow()
-        .to_pylist()
+        .select("text", "y")
+        .coalesce(1)
     )
-    return train([r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64), prior=prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic: list[int] = []
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                toxic.extend(batch.column(1).to_pylist())
+                for x in batch.column(0):
+                    yield x.as_py()
+
+        held = list(texts())
+        names, shapes, parts = zip(*_as_rows(train(held, np.array(toxic, dtype=np.int64), prior=prior)), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(shapes, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["name", "shape", "data"])
+
+    found = rows.mapInArrow(run, _PARTS).toArrow().to_pylist()
+    return _from_rows((r["name"], r["shape"], r["data"]) for r in found) if found else train([], np.zeros(0, dtype=np.int64), prior=prior)
 
 
 _scorers: dict[int, Scorer] = {}
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, portion_chars: int = 2_000_000) -> DataFrame:
-    """``docs`` (columns ``keep``, or all) and ``score``, the probability that a text is toxic. A null or empty text is
-    one window of padding; a text of any length is scored over all its windows. A column ``score`` is replaced."""
+def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, batch_rows: int = 1000, portion_chars: int = 500_000) -> DataFrame:
+    """``docs`` (columns ``keep``, or all) and ``score``, the probability that a text is toxic. A null or empty text, or
+    one without words, scores 0; a text of any length is scored over all its windows. An empty table stays empty. A column
+    ``score`` of ``docs`` is replaced; one ``_text`` stays as it is. Texts go to Python ``batch_rows`` at a time from here
+    on, for the rest of the session, unless it already takes fewer: a batch of whole texts is held more than once."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(limit)) <= batch_rows:
+        docs.sparkSession.conf.set(limit, str(batch_rows))
     names = [c for c in (keep or docs.columns) if c != "score"]
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -362,6 +445,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
                 out.append(scorer.scores(held))
             scores = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     extra = [] if text in names else [F.col(text).alias("_text")]
     return docs.select(*[F.col(f"`{c}`") for c in names], *extra).mapInArrow(run, schema)

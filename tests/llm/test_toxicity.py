@@ -110,3 +110,67 @@ def test_held_out_labels_change_nothing(spark):
     wrong = spark.createDataFrame([(i, 1 - int(y) if tox.crc_held_out(i) else int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
     a, b = tox.learn(docs, real), tox.learn(docs, wrong)
     assert a.vocabulary == b.vocabulary and all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
+
+
+def plain_logit(m, words):
+    """One window read word by word with scalars alone."""
+    import math
+
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    p = {k: v.astype(float).tolist() for k, v in m.p.items()}
+    inputs = []
+    for w in words:
+        grams, _ = tox.char_grams([w])
+        chars = [sum(p["chars"][g][j] for g in grams.tolist()) for j in range(tox.CHAR_DIM)]
+        inputs.append(p["words"][m.vocabulary.get(w, 0)] + chars)
+    inputs += [[0.0] * (tox.WORD_DIM + tox.CHAR_DIM)] * (tox.WINDOW - len(words))
+    h3, states = 3 * tox.HIDDEN, []
+    for way in "fb":
+        h, out = [0.0] * tox.HIDDEN, [None] * tox.WINDOW
+        for t in range(tox.WINDOW) if way == "f" else range(tox.WINDOW - 1, -1, -1):
+            x = [sum(inputs[t][i] * p[f"W{way}"][i][j] for i in range(len(inputs[t]))) + p[f"c{way}"][j] for j in range(h3)]
+            y = [sum(h[i] * p[f"U{way}"][i][j] for i in range(tox.HIDDEN)) for j in range(h3)]
+            z = [sig(x[j] + y[j]) for j in range(tox.HIDDEN)]
+            r = [sig(x[tox.HIDDEN + j] + y[tox.HIDDEN + j]) for j in range(tox.HIDDEN)]
+            fresh = [math.tanh(x[2 * tox.HIDDEN + j] + r[j] * y[2 * tox.HIDDEN + j]) for j in range(tox.HIDDEN)]
+            h = [(1 - z[j]) * fresh[j] + z[j] * h[j] for j in range(tox.HIDDEN)]
+            out[t] = h
+        states.append(out)
+    both = [f + b for f, b in zip(*states, strict=True)][: max(1, len(words))]
+    e = [sum(math.tanh(sum(s[i] * p["A"][i][a] for i in range(len(s))) + p["a0"][a]) * p["v"][a] for a in range(tox.ATTEND)) for s in both]
+    w = [math.exp(x - max(e)) for x in e]
+    pooled = [sum(w[t] * both[t][i] for t in range(len(both))) / sum(w) for i in range(2 * tox.HIDDEN)]
+    return sum(a * b for a, b in zip(pooled, p["o"], strict=True)) + p["o0"][0]
+
+
+def test_plain_forward_pass(model):
+    texts = corpus(6, 9)[0] + ["", "stupid", "no word of this is known"]
+    for text in texts:
+        words = tox.words_of(text)
+        plain = max(plain_logit(model, words[b : b + tox.WINDOW]) for b in tox.windows(len(words)))
+        assert abs(plain - float(tox.Scorer(model).logits([text])[0])) < 1e-3
+
+
+def test_model_as_rows(model):
+    back = tox._from_rows(tox._as_rows(model))
+    texts = corpus(20, 5)[0]
+    assert back.vocabulary == model.vocabulary and np.array_equal(tox.Scorer(back).scores(texts), tox.Scorer(model).scores(texts))
+
+
+def test_learn_trains_in_a_task(spark):
+    texts, labels = corpus(120, 6)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    found = tox.learn(docs, known)
+    ids = [i for i in range(120) if not tox.crc_held_out(i)]
+    here = tox.train([texts[i] for i in ids], labels[ids], prior=float(labels[ids].mean()))
+    assert np.allclose(tox.Scorer(found).scores(texts), tox.Scorer(here).scores(texts), atol=1e-4)
+    empty = tox.learn(docs.limit(0), known)
+    assert np.allclose(tox.Scorer(empty).scores(["", "lo mi"]), [0, labels[ids].mean()], atol=1e-6)
+    assert tox.score(docs.limit(0), found).count() == 0
+
+
+def test_very_long_text(model):
+    long = "lo mi ra te su no ka " * 60_000
+    scores = tox.Scorer(model).scores([long, long + "stupid moron"])
+    assert scores[0] < 0.3 < scores[1]
