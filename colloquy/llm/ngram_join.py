@@ -293,6 +293,7 @@ def incidence(docs: DataFrame, *, k: int, percent: int, parts: int, most_entries
                 held, size = [], 0
         if held:
             yield from entries(batch.column(0).type)
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
@@ -343,6 +344,7 @@ def shared_blocks(entries: DataFrame, *, most_entries: int = 1_000_000) -> DataF
                 size += len(held[-1][0])
         if held:
             yield from met()
+        pa.default_memory_pool().release_unused()
 
     return entries.select("part", "entries").repartition("part").sortWithinPartitions("part").mapInArrow(run, "sig bigint, node bigint")
 
@@ -509,17 +511,21 @@ def similarity_components(
     met = materialise(shared_blocks(written.filter("part IS NOT NULL")), "ngram-blocks")
     # one node for each distinct set that shares a block
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "kind", "slack", "signatures", *PARITY)])
-    met_nodes = met.groupBy("node").agg(F.count("*").alias("commons"))
-    info = materialise(nodes.join(met_nodes, "node"), "ngram-nodes")
-    about = info.select(F.col("node").alias("_node"), "n", "kind", "slack", (F.col("commons") / F.col("signatures")).alias("share"))
-    class_at = (F.shiftrightunsigned("sig", 56) - F.col("kind") + 1).cast("int")
-    blocks = met.join(_small(about, broadcast_docs), met["node"] == F.col("_node")).select("sig", "node", "n", F.element_at("slack", class_at).alias("slack"), "share")
+    class_of = F.shiftrightunsigned("sig", 56).cast("int")
+    per_class = met.groupBy("node", class_of.alias("class")).agg(F.count("*").alias("commons"))
+    # a pair has as many equal blocks as either of its sets tells: a set that shares fewer with all others has no link
+    told = F.element_at("slack", F.col("class") - F.col("kind") + 1)
+    info = nodes.join(per_class, "node").withColumn("slack", told).filter(F.col("commons") >= F.greatest("slack", F.lit(1)))
+    info = materialise(info.select("node", "rep", "n", "class", "slack", (F.col("commons") / F.col("signatures")).alias("share"), *PARITY), "ngram-nodes")
+    about = info.select(F.col("node").alias("_node"), F.col("class").alias("_class"), "n", "slack", "share")
+    blocks = met.join(_small(about, broadcast_docs), (met["node"] == F.col("_node")) & (class_of == F.col("_class"))).select("sig", "node", "n", "slack", "share")
     # a block's head is the document that shares most of its blocks with others: what copies are copies of
     best = F.max(F.struct("share", "n", "node", "slack")).over(W.partitionBy("sig"))
     blocks = materialise(blocks.withColumn("h", best).select("sig", "node", "n", "slack", "share", "h"), "ngram-headed")
-    sketches = info.select("node", "n", *PARITY)
+    single = info.withColumn("first", F.min("class").over(W.partitionBy("node"))).filter("class = first")
+    sketches = materialise(single.select("node", "rep", "n", *PARITY), "ngram-sketches")
     with _batches_of(spark, 1000):
-        texts = _texts(docs, info.select("node", "rep"), broadcast_docs)
+        texts = _texts(docs, sketches.select("node", "rep"), broadcast_docs)
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -527,7 +533,7 @@ def similarity_components(
     def link(pairs: DataFrame) -> None:
         """Accumulates the overlaps of pairs (a, b) and takes in what links."""
         nonlocal links, labels
-        few = _small(sketches, broadcast_docs)
+        few = _small(sketches.drop("rep"), broadcast_docs)
         pairs = cut(pairs.join(few.alias("p"), F.col("a") == F.col("p.node")).join(few.alias("q"), F.col("b") == F.col("q.node")).filter(_may_differ("p", "q", percent)).select("a", "b"))
         if pairs.isEmpty():
             return
