@@ -104,12 +104,16 @@ class Stream:
     samples: int = 0
     crc_ok: int = 0
     crc_bad: int = 0
+    crc_unchecked: int = 0  # protected frames of Layer II
+    delay: int = 0  # samples that the encoder put before the audio
+    padding: int = 0  # and behind it
     resyncs: int = 0
     skipped: int = 0
 
     @property
     def duration(self) -> Fraction:
-        return Fraction(self.samples, self.header.rate) if self.header else Fraction(0)
+        """Seconds of audio, without what the encoder says that it added."""
+        return Fraction(max(0, self.samples - self.delay - self.padding), self.header.rate) if self.header else Fraction(0)
 
 
 def _syncsafe(x: bytes) -> int:
@@ -122,17 +126,28 @@ _ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
 def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     """The offset behind the tag at ``at``; its text frames go to ``tags``."""
     major, flags, size = data[at + 3], data[at + 5], _syncsafe(data[at + 6 : at + 10])
-    end, pos = min(len(data), at + 10 + size), at + 10
+    end = min(len(data), at + 10 + size)
+    held, pos = data[at + 10 : end], 0
+    if flags & 0x80 and major < 4:  # unsynchronised as a whole
+        held = held.replace(b"\xff\0", b"\xff")
     if flags & 0x40 and major >= 3:  # extended header
-        pos += _syncsafe(data[pos : pos + 4]) if major == 4 else 4 + int.from_bytes(data[pos : pos + 4], "big")
-    while major >= 3 and pos + 10 <= end and data[pos]:
-        name = data[pos : pos + 4].decode("latin-1")
-        length = _syncsafe(data[pos + 4 : pos + 8]) if major == 4 else int.from_bytes(data[pos + 4 : pos + 8], "big")
-        body = data[pos + 10 : min(end, pos + 10 + length)]
+        pos = _syncsafe(held[:4].ljust(4, b"\0")) if major == 4 else 4 + int.from_bytes(held[:4], "big")
+    # a name, a length and, but for version 2, two bytes of flags
+    wide = 3 if major == 2 else 4
+    head = 6 if major == 2 else 10
+    while 2 <= major <= 4 and pos + head <= len(held) and held[pos]:
+        name, number = held[pos : pos + wide].decode("latin-1"), held[pos + wide : pos + 2 * wide]
+        length = _syncsafe(number) if major == 4 else int.from_bytes(number, "big")
+        body = held[pos + head : pos + head + length]
+        if major == 4:
+            how = held[pos + 9]
+            body = body[4:] if how & 1 else body
+            body = body.replace(b"\xff\0", b"\xff") if how & 2 or flags & 0x80 else body
         if name[0] == "T" and body:
             parts = body[1:].decode(_ENCODINGS.get(body[0], "latin-1"), "replace").rstrip("\0").split("\0")
-            tags[f"TXXX:{parts[0]}" if name == "TXXX" and len(parts) > 1 else name] = "/".join(parts[1:] if name == "TXXX" else parts)
-        pos += 10 + length
+            own = name in ("TXXX", "TXX") and len(parts) > 1
+            tags[f"{name}:{parts[0]}" if own else name] = "/".join(parts[1:] if own else parts)
+        pos += head + length
     return end + (10 if flags & 0x10 else 0)
 
 
@@ -159,6 +174,13 @@ def _tail_tags(data: bytes, end: int, tags: dict[str, str]) -> int:
     return end
 
 
+def _allocation_bytes(fourth: int) -> int:
+    """Bytes of bit allocation in a Layer I frame: four bits for each of 32 subbands and channels, which in joint stereo
+    share theirs from a bound on. ``fourth``: the last byte of the header."""
+    mode, bound = fourth >> 6, 4 * ((fourth >> 4 & 3) + 1)
+    return 16 if mode == 3 else (32 + bound) // 2 if mode == 1 else 32
+
+
 def _vbr_table(frame: bytes, h: Header, out: Stream) -> bool:
     """Whether a first frame holds a table instead of audio."""
     at = 4 + 2 * h.protected + h.side
@@ -171,7 +193,11 @@ def _vbr_table(frame: bytes, h: Header, out: Stream) -> bool:
         if flags & 2:
             out.table_bytes, pos = int.from_bytes(frame[pos : pos + 4], "big"), pos + 4
         if flags & 4:
-            out.table_toc = frame[pos : pos + 100]
+            out.table_toc, pos = frame[pos : pos + 100], pos + 100
+        pos += 4 if flags & 8 else 0
+        if frame[pos : pos + 4] in (b"LAME", b"Lavc", b"Lavf") and len(frame) >= pos + 24:
+            trim = int.from_bytes(frame[pos + 21 : pos + 24], "big")
+            out.delay, out.padding = trim >> 12, trim & 0xFFF
         return True
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         out.table, out.table_bytes, out.table_frames = "VBRI", int.from_bytes(frame[46:50], "big"), int.from_bytes(frame[50:54], "big")
@@ -199,10 +225,11 @@ def read_stream(data: bytes) -> Stream:
                 out.resyncs += not synced and out.header is not None
                 synced = True
                 if h.protected:
-                    covered = h.side if h.layer == 3 else (h.channels * 16 if h.layer == 1 else 0)
+                    covered = h.side if h.layer == 3 else _allocation_bytes(data[pos + 3]) if h.layer == 1 else 0
                     given = data[pos + 4 : pos + 6]
                     said = data[pos + 2 : pos + 4] + data[pos + 6 : pos + 6 + covered]
-                    if h.layer != 2:  # what Layer II covers depends on its allocation tables
+                    out.crc_unchecked += h.layer == 2  # what Layer II covers depends on its allocation tables
+                    if h.layer != 2:
                         right = checked.get(said)
                         if right is None:
                             right = crc16(said)

@@ -86,3 +86,50 @@ def test_column(spark):
     audio = media_index(text_media(docs, with_media=True).select("doc_id", "media").unionByName(spark.createDataFrame([(9, None), (10, bytearray(b"zz"))], "doc_id long, media binary")))
     got = {r["doc_id"]: r["audio"] for r in audio.collect()}
     assert got[9]["samples"] == got[10]["samples"] == 0 and got[3]["sample_rate"] == 48000 and got[3]["tags"]["TXXX:payload_bytes"] == "576"
+
+
+def layer1(mode, extension, sums=True):
+    """A MPEG-1 Layer I frame of 32 kbit/s at 32 kHz with a checksum over the allocation bits of its mode."""
+    head = bytes([0xFF, 0xFE, 0x18, mode << 6 | extension << 4])
+    covered = {0: 32, 1: (32 + 4 * (extension + 1)) // 2, 2: 32, 3: 16}[mode]
+    bits = bytes((7 * i + mode + extension) % 251 for i in range(covered))
+    crc = crc16(head[2:] + bits) ^ (0 if sums else 1)
+    frame = head + crc.to_bytes(2, "big") + bits
+    return frame.ljust(parse_header(head).length, b"\0")
+
+
+def test_layer_one_checksums_of_every_mode():
+    for mode in range(4):
+        for extension in range(4):
+            stream = read_stream(layer1(mode, extension) * 3 + layer1(mode, extension, sums=False))
+            assert (stream.crc_ok, stream.crc_bad) == (3, 1)
+
+
+def test_layer_two_checksums_are_counted_as_unchecked():
+    frame = bytes([0xFF, 0xFC, 0x84, 0xC0]).ljust(384, b"\0")
+    stream = read_stream(frame * 3)
+    assert (stream.crc_ok, stream.crc_bad, stream.crc_unchecked) == (0, 0, 3)
+
+
+def test_tags_of_version_two_and_unsynchronised_tags():
+    size = lambda n: bytes(n >> s & 127 for s in (21, 14, 7, 0))
+    audio = write_stream(b"x")
+    old = b"TT2" + (6).to_bytes(3, "big") + b"\0Title" + b"TXX" + (6).to_bytes(3, "big") + b"\0a\0bcd"
+    assert {"TT2": "Title", "TXX:a": "bcd"}.items() <= read_stream(b"ID3\x02\0\0" + size(len(old)) + old + audio).tags.items()
+    text = "\u00ff\u0100x".encode("utf-16")  # has FF bytes, and zeros behind them
+    frame = b"TIT2" + (1 + len(text)).to_bytes(4, "big") + b"\0\0" + b"\x01" + text
+    spread = frame.replace(b"\xff", b"\xff\0")
+    stream = read_stream(b"ID3\x03\0\x80" + size(len(spread)) + spread + audio)
+    assert stream.tags["TIT2"] == "\u00ff\u0100x" and stream.skipped == 0
+    body = b"\x01" + text.replace(b"\xff", b"\xff\0")
+    newer = b"TIT2" + size(len(body)) + b"\0\x02" + body
+    assert read_stream(b"ID3\x04\0\0" + size(len(newer)) + newer + audio).tags["TIT2"] == "\u00ff\u0100x"
+
+
+def test_encoder_delay_and_padding_are_not_audio():
+    audio = write_stream(b"x" * 4000)
+    frames = read_stream(audio).seek
+    head = audio[frames[0] : frames[0] + 23]  # header, checksum and side information
+    table = b"Info" + (15).to_bytes(4, "big") + bytes(4 + 4 + 100 + 4) + b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    stream = read_stream((head + table).ljust(parse_header(head[:4]).length, b"\0") + audio[frames[0] : frames[-1]])
+    assert (stream.delay, stream.padding) == (576, 1000) and stream.duration == Fraction(stream.samples - 1576, 48000)
