@@ -281,16 +281,21 @@ def in_order_of_ids(docs: DataFrame, *, doc_id: str, text: str, rows_per_bucket:
     bucket followed by copies of the row that comes next (extra = 1): so each row's successor is in its partition.
 
     Buckets end at ids that exist, so the row that follows a bucket is known by its id; the last is followed by the
-    first. Null ids come last; equal ids go by their texts' hashes.
+    first. Null ids come last; equal ids go by their texts' hashes. Ids are ordered as their type is.
     """
-    ids = docs.select(F.col(doc_id).cast("long").alias("id"))
+    whole = isinstance(docs.schema[doc_id].dataType, T.IntegralType)
+    column = F.col(doc_id).cast("long") if whole else F.col(doc_id)
+    ids = docs.select(column.alias("id"))
     n = ids.count()
     buckets = max(1, min(65536, n // rows_per_bucket))
-    found = ids.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)] or [1.0], 10 * max(1000, buckets)).alias("q"), F.max("id").alias("most")).first()
-    ends = sorted({*(found["q"] or []), *([found["most"]] if found["most"] is not None else [])})
+    if whole:
+        found = ids.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)] or [1.0], 10 * max(1000, buckets)).alias("q"), F.max("id").alias("most")).first()
+        ends = sorted({*(found["q"] or []), *([found["most"]] if found["most"] is not None else [])})
+    else:  # quantiles are of numbers: other ids are dealt out by ranges, and each range's last one is an end
+        ranges = ids.filter("id IS NOT NULL").distinct().repartitionByRange(buckets, "id")
+        ends = [r["most"] for r in ranges.groupBy(F.spark_partition_id().alias("at")).agg(F.max("id").alias("most")).orderBy("most").collect()]
     wide = max(1, int(len(ends) ** 0.5))
     groups = [ends[i : i + wide] for i in range(0, len(ends), wide)]
-    column = F.col(doc_id).cast("long")
     below = lambda array: F.size(F.filter(array, lambda b: b < column))
     if groups:
         # two short searches: the group of buckets, then the bucket in it

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.naming import apart
 from colloquy.session import cut
 
 
@@ -39,27 +40,26 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and ``n_lines`` and ``n_dropped``. Kept lines stay in
     order, blank lines too. A null text stays null with 0 lines; a text of boilerplate only becomes empty. Columns
-    ``n_lines`` and ``n_dropped`` of ``docs`` are replaced; an empty table stays empty.
+    ``n_lines`` and ``n_dropped`` of ``docs`` are replaced, others stay whatever their names; an empty table stays empty.
 
     The list of lines is broadcast while it has ``broadcast_lines`` rows at most, and joined by a shuffle on the host
     beyond (Spark splits a hot host in that join, as every row is looked up by itself).
     """
     found = cut(boilerplate_lines(docs, text=text, host=host, max_ratio=max_ratio, min_pages=min_pages))
-    per_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_hash").alias("_drop"))
+    at, drop, lines, clean = apart(docs, "host", "drop", "lines", "clean")
+    per_host = found.groupBy(F.col("host").alias(at)).agg(F.collect_set("line_hash").alias(drop))
     if found.count() <= broadcast_lines:
         per_host = F.broadcast(per_host)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lines = F.split(F.col(text), "\n", -1)
-    clean = F.filter(F.col("_lines"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), F.xxhash64(x)))
+    kept = F.filter(F.col(lines), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(drop), F.xxhash64(x)))
+    known = F.col(text).isNotNull()
     return (
         docs.select(*[f"`{c}`" for c in names])
-        .join(per_host, F.col(host).eqNullSafe(F.col("_host")), "left")
-        .withColumn("_lines", lines)
-        .withColumn("_clean", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(clean))
-        .withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("_clean", "\n")))
-        .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_lines") - F.size("_clean"), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-        .withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
+        .join(per_host, F.col(host).eqNullSafe(F.col(at)), "left")
+        .withColumn(lines, F.split(F.col(text), "\n", -1))
+        .withColumn(clean, F.when(F.col(drop).isNull(), F.col(lines)).otherwise(kept))
+        .withColumn("n_lines", F.when(known, F.size(lines)).otherwise(0).cast("long"))
+        .withColumn("n_dropped", F.when(known, F.size(lines) - F.size(clean)).otherwise(0).cast("long"))
+        .withColumn(text, F.when(known, F.array_join(clean, "\n")))
         .select(*[f"`{c}`" for c in names], "n_lines", "n_dropped")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.llm.naming import apart
 from colloquy.session import cut, materialise
 
 #: A run of anything but ASCII white space.
@@ -81,6 +82,7 @@ def mix(
     size = word_count(F.col(text)) if size is None else size.cast("long")
     ours = ["size", "source_size", "target", "copies", "taken"]
     names = [c for c in docs.columns if c not in ours]
+    of, whole, ends, last_key, own_key, place = apart(docs, "source", "epochs", "ends", "last_key", "key", "place")
     w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(F.lit(1.0))
     identity = F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(source).cast("string"), F.lit("")))
     key = sampling_key(identity, w, seed)
@@ -118,18 +120,19 @@ def mix(
         .join(crossing.alias("c"), F.expr("t.source <=> c.source"), "left")
         .join(last.alias("l"), F.expr("t.source <=> l.source"), "left")
         .select(
-            F.col("t.source").alias("_source"), F.col("t.total").alias("source_size"), F.col("t.target").alias("target"), F.col("t.epochs").alias("_epochs"),
-            F.col("c.bucket").alias("_bucket"), F.col("l.last_key").alias("_last_key"),
+            F.col("t.source").alias(of), F.col("t.total").alias("source_size"), F.col("t.target").alias("target"), F.col("t.epochs").alias(whole),
+            F.col("c.bucket").alias(ends), F.col("l.last_key").alias(last_key),
         )
     )
     plan = cut(plan)
     if plan.count() <= broadcast_sources:
         plan = F.broadcast(plan)
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], size.alias("size"), key.alias("_key"))
-    marked = marked.withColumn("_b", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets).cast("long"))
-    joined = marked.join(plan, F.col(source).eqNullSafe(F.col("_source")), "inner")
-    chosen = (F.col("_b") < F.col("_bucket")) | ((F.col("_b") == F.col("_bucket")) & (F.col("_key") <= F.col("_last_key")))
-    copies = F.col("_epochs") + F.coalesce(chosen, F.lit(False)).cast("long")
+    # a weight may be of columns that the result replaces: key and size are taken before
+    marked = docs.select(*[F.col(f"`{c}`") for c in names], size.alias("size"), key.alias(own_key))
+    marked = marked.withColumn(place, F.floor((F.lit(1.0) - F.exp(-F.col(own_key))) * buckets).cast("long"))
+    joined = marked.join(plan, F.col(source).eqNullSafe(F.col(of)), "inner")
+    chosen = (F.col(place) < F.col(ends)) | ((F.col(place) == F.col(ends)) & (F.col(own_key) <= F.col(last_key)))
+    copies = F.col(whole) + F.coalesce(chosen, F.lit(False)).cast("long")
     return (
         joined.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
