@@ -5,7 +5,8 @@ host's pages, wherever they stand: beside an article, what does not recur is tex
 What names itself as a menu, header, footer, sidebar, notice, advert, form or comment goes by its name, also on hosts
 with few pages. Inside an article only boxes can be template, counted once for each different article: its paragraphs,
 headings and lists stay even if they recur. Beside articles a subtree counts once for each different page, and where a
-page has several articles, each can be template as a whole.
+page has several articles, each can be template as a whole. Names inside an article count only where a box bears one
+as its whole name (``comments``, not ``related-work``); anything else there goes by its hash alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.llm.naming import apart
 from colloquy.session import cut
 
 # Element names of the HTML standard by what they mean here.
@@ -50,29 +52,32 @@ _PART = re.compile(r"[a-z]+")
 class Element:
     __slots__ = ("tag", "named", "children", "holds", "hash", "dropped")
 
-    def __init__(self, tag: str, named: bool):
+    def __init__(self, tag: str, named: int):
         self.tag, self.named, self.children = tag, named, []
         self.holds, self.hash, self.dropped = False, 0, False
 
 
 def _loose(text: str) -> Element:
-    e = Element("#text", False)
+    e = Element("#text", 0)
     e.children.append(text)
     return e
 
 
-def _names_itself(tag: str, attributes: str) -> bool:
+def _names_itself(tag: str, attributes: str) -> int:
+    """2 where a whole name in class, id or role is one of NAMES, 1 where a part of a name is, else 0."""
+    found, most = NAMES - ({"header", "banner"} if tag in HEADINGS else set()), 0
     for m in _NAMING.finditer(attributes):
-        parts = set(_PART.findall((m[1] or m[2] or m[3] or "").lower()))
-        if not parts & _AROUND and parts & NAMES - ({"header", "banner"} if tag in HEADINGS else set()):
-            return True
-    return False
+        value = (m[1] or m[2] or m[3] or "").lower()
+        parts = set(_PART.findall(value))
+        if not parts & _AROUND and parts & found:
+            most = max(most, 2 if found & set(value.split()) else 1)
+    return most
 
 
 def parse(html: str) -> Element:
     """The tree of a page. Never fails: unclosed elements end with their parents, stray end tags are skipped, and a tag
     or comment that the end cuts off is dropped."""
-    root = Element("#root", False)
+    root = Element("#root", 0)
     stack, pos = [root], 0
     while True:
         m = _TOKEN.search(html, pos)
@@ -112,7 +117,7 @@ def parse(html: str) -> Element:
                 elif stack[i].tag in FENCES and not (tag == "tr" and stack[i].tag == "tr"):
                     break
             del i
-        element = Element(tag, bool(attributes) and _names_itself(tag, attributes))
+        element = Element(tag, _names_itself(tag, attributes) if attributes else 0)
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
@@ -164,7 +169,8 @@ class Page:
             within = p is not None and id(p) in inside
             if within or e in self.mains:
                 inside.add(id(e))
-            named = e.named and e.tag not in KEPT_WHOLE
+            # inside an article only a box that bears the name itself goes by it: text about comments or search is text
+            named = e.named and e.tag not in KEPT_WHOLE and (not within or (e.named == 2 and e.tag in BOXES - {"table"}))
             by_tag = e.tag in DROPPED and not (e.tag == "header" and within)
             e.dropped = (p is not None and p.dropped) or ((named or by_tag) and not e.holds)
         self.inside = inside
@@ -278,11 +284,12 @@ def main_text(pages: DataFrame, *, url: str = "url", html: str = "html", keep: l
     names = [c for c in (keep or [c for c in pages.columns if c != html]) if c != "text"]
     found = cut(template_subtrees(pages, url=url, html=html))
     pick = lambda running: F.collect_list(F.when(F.col("running") == running, F.col("hash")))
-    per_host = found.groupBy(F.col("host").alias("_h")).agg(pick(False).alias("_boxes"), pick(True).alias("_running"))
+    key, boxes, running, page, host = apart(pages, "key", "boxes", "running", "html", "host")
+    per_host = found.groupBy(F.col("host").alias(key)).agg(pick(False).alias(boxes), pick(True).alias(running))
     if found.count() <= broadcast_subtrees:
         per_host = F.broadcast(per_host)
-    rows = pages.select(*[F.col(f"`{c}`") for c in names], F.col(html).alias("_html"), host_of(F.col(url)).alias("_host"))
-    rows = rows.join(per_host, rows["_host"] == per_host["_h"], "left").select(*[F.col(f"`{c}`") for c in names], "_html", "_host", "_boxes", "_running")
+    rows = pages.select(*[F.col(f"`{c}`") for c in names], F.col(html).alias(page), host_of(F.col(url)).alias(host))
+    rows = rows.join(per_host, F.col(host) == F.col(key), "left").select(*[F.col(f"`{c}`") for c in names], page, host, boxes, running)
     schema = T.StructType([*[pages.schema[c] for c in names], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,3 +61,39 @@ def test_copies_of_one_page_make_no_template(spark):
     one = "<div><div>Lead</div><p>Only story</p></div>"
     got = main_text(pages(spark, [(i, f"http://a.b/{i}", one) for i in range(30)])).collect()
     assert {r["text"] for r in got} == {"Lead\nOnly story"}
+
+
+def test_text_that_only_sounds_like_template_stays():
+    html = """<article><h1>T</h1><section id="related-work"><p>Others did</p></section><p class="social">On networks</p><div class="search-results">Found</div>
+    <table class="comments-table"><tr><td>1</td></tr></table><div class="menu-item-desc"><p>Soup</p></div><div class="share">Tweet</div><section class="comments"><p>first!</p></section></article>"""
+    assert text(html) == "T\nOthers did\nOn networks\nFound\n1\nSoup"
+
+
+def test_subtrees_without_telling_names_go_by_their_hash(spark):
+    """Generated sites: each has boxes of its own on all its pages, none of which bears a name."""
+    rows, want, key = [], {}, 0
+    for site in range(3):
+        top, box = f"<div><span>Site {site} home</span><a>one</a></div>", f"<div><p>Read more on {site}</p></div>"
+        for i in range(15):
+            lines = [f"Story {site} {i}", *[f"Line {j} of {site} {i}" for j in range(4)]]
+            body = "".join(f"<p>{x}</p>" for x in lines)
+            rows.append((key, f"http://site{site}.org/{i}", f"<body>{top}<main>{body}{box}</main><div>(c) {site}</div></body>"))
+            want[key], key = "\n".join(lines), key + 1
+    got = {r["page_id"]: r["text"] for r in main_text(pages(spark, rows)).collect()}
+    assert got == want and all(text(h) != want[i] for i, _, h in rows)
+
+
+def test_subtree_counts_against_counting(spark):
+    from colloquy.llm.html_text import template_subtrees
+
+    parts = [f"<div>{c}</div>" for c in "abcdefg"]
+    rows = [(i, f"http://h{i % 2}.org/{i}", "<body>" + "".join(p for j, p in enumerate(parts) if (i * 7 + j * j) % (j + 2) == 0) + f"<p>own {i}</p></body>") for i in range(60)]
+    seen, total = {}, {}
+    for _, url, html in rows:
+        page, host = Page(html), url.split("/")[2]
+        total.setdefault(host, set()).add(page.root.hash)
+        for h, running, once in page.found():
+            seen.setdefault((host, h, running), set()).add(once)
+    want = {(k[0], k[1], k[2], len(v)) for k, v in seen.items() if len(v) >= 4 and len(v) > len(total[k[0]]) * (0.3 if k[2] else 0.005)}
+    got = {(r["host"], r["hash"], r["running"], r["n"]) for r in template_subtrees(pages(spark, rows)).collect()}
+    assert got == want and got
