@@ -41,5 +41,32 @@ def test_stages_in_order(spark, tmp_path):
 
 
 def test_run(spark, tmp_path):
+    """All stages together give what they give one by one, with no document lost or doubled between them."""
+    docs = tables(spark, str(tmp_path))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, rows)) == sorted(map(key, want))
+
+
+def test_columns_of_clashing_names_come_back(spark, tmp_path):
     tables(spark, str(tmp_path))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    taken = ["score", "size", "target", "copies", "taken", "source_size", "n_lines", "n_dropped", "_gone", "_again", "_row", "_copy", "_n_chars", "_drop", "_key", "_epochs", "_host", "node", "label"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in taken])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in rows for c in taken)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_very_long_text_passes_every_stage(spark, tmp_path):
+    docs = tables(spark, str(tmp_path))
+    long = " ".join(f"lo{i % 977} mira{i % 1009}" for i in range(120_000))
+    docs = docs.union(spark.createDataFrame([(900, long, "en", "s9", len(long))], docs.schema))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.filter(f"doc_id = 900 AND length(text) = {len(long)}").count() >= 1
