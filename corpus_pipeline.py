@@ -6,6 +6,9 @@ but the last return the columns of ``documents``. ``run`` applies them all.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +24,33 @@ from colloquy.session import cut, materialise, ship
 BROADCAST_IDS = 500_000
 
 
+#: Columns of ``documents`` that the stages read or write; any others pass through.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def passing_others(stage: Stage) -> Stage:
+    """The stage with columns that are not its business out of its way: whatever they are called, they come back as they
+    were, also where an operator has a column of that name. An empty table gives an empty table."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        given = docs.columns
+        return stage(spark, docs.toDF(*[c if c in OWN else f"other_column_{i}" for i, c in enumerate(given)]), sf_dir).toDF(*given)
+
+    return run
+
+
+@passing_others
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold; the model learns from labels that are not held out.
-    Empty and null texts are scored like any other and stay."""
+    Empty and null texts score 0 and stay."""
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).filter(F.col("score") < TOXIC_FROM).select(*[f"`{c}`" for c in docs.columns])
 
 
+@passing_others
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that recur over their source; ``n_chars`` follows the text."""
     clean = drop_boilerplate(docs.withColumnsRenamed({"n_chars": "_n_chars"}))
@@ -35,6 +58,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.select(*[length if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+@passing_others
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates on five-word shingles at 0.8: that of the least id, where null ids come
     last, and among rows of one id that of the least text hash. Rows are told apart by id and text, so another text of
@@ -53,6 +77,7 @@ def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return single.unionByName(kept.join(again, F.col("_row") == F.col("_again"), "left_semi").dropDuplicates(["_row"])).drop("_row")
 
 
+@passing_others
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them. Texts whose words are of an odd length on average weigh a quarter."""
     per_word = F.length("text") / F.greatest(word_count(F.col("text")), F.lit(1))
