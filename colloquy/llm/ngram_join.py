@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.llm.memory import give_back
 from colloquy.session import cut, materialise
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -293,7 +294,7 @@ def incidence(docs: DataFrame, *, k: int, percent: int, parts: int, most_entries
                 held, size = [], 0
         if held:
             yield from entries(batch.column(0).type)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
@@ -344,7 +345,7 @@ def shared_blocks(entries: DataFrame, *, most_entries: int = 1_000_000) -> DataF
                 size += len(held[-1][0])
         if held:
             yield from met()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return entries.select("part", "entries").repartition("part").sortWithinPartitions("part").mapInArrow(run, "sig bigint, node bigint")
 
@@ -379,6 +380,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, broadcast_docs: int) -> DataFrame
         for batch in batches:
             out = [squeeze.compress(x.as_py().encode("utf-8", "surrogatepass")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "packed"])
+        give_back()
 
     # rows that repeat in every respect give a text more than once
     return materialise(rows.mapInArrow(run, "node bigint, packed binary").groupBy("node").agg(F.first("packed").alias("packed")), "ngram-texts")
@@ -446,6 +448,7 @@ def verify(pairs: DataFrame, texts: DataFrame, *, k: int, percent: int, broadcas
         if held:
             out = linked()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        give_back()
 
     dealt = heads.unionByName(members).repartition("a", "blk").sortWithinPartitions("a", "blk", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(run, "a bigint, b bigint")

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.llm.memory import give_back
+
 WINDOW, STRIDE = 48, 24
 HIDDEN, ATTEND, WORD_DIM, CHAR_DIM = 8, 8, 8, 8
 CHAR_BUCKETS = 1 << 14
@@ -407,14 +409,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         held = list(texts())
         names, shapes, parts = zip(*_as_rows(train(held, np.array(toxic, dtype=np.int64), prior=prior)), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(shapes, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["name", "shape", "data"])
+        del held
+        give_back()
 
     found = rows.mapInArrow(run, _PARTS).toArrow().to_pylist()
     return _from_rows((r["name"], r["shape"], r["data"]) for r in found) if found else train([], np.zeros(0, dtype=np.int64), prior=prior)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, batch_rows: int = 1000, portion_chars: int = 500_000) -> DataFrame:
     """``docs`` (columns ``keep``, or all) and ``score``, the probability that a text is toxic. A null or empty text, or
     one without words, scores 0; a text of any length is scored over all its windows. An empty table stays empty. A column
@@ -428,11 +429,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        scorer = _scorers.get(id(m))
-        if scorer is None or scorer.m is not m:
-            _scorers.clear()
-            scorer = _scorers[id(m)] = Scorer(m)
+        scorer = Scorer(shared.value)
         for batch in batches:
             out, held, size = [], [], 0
             for x in batch.column(names.index(text) if text in names else len(names)):
@@ -445,7 +442,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
                 out.append(scorer.scores(held))
             scores = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=schema.names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     extra = [] if text in names else [F.col(text).alias("_text")]
     return docs.select(*[F.col(f"`{c}`") for c in names], *extra).mapInArrow(run, schema)
