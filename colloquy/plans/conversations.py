@@ -164,7 +164,7 @@ collapsed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) A
 _COMPLETIONS = r"""
 parts AS (SELECT conv_id, turn, substr(text, 1, instr(text, '.')) AS head, trim(regexp_replace(substr(text, instr(text, '.') + 1), '\s+', ' ', 'g')) AS rest
   FROM conversations WHERE role = 'assistant' AND instr(text, '.') > 0),
-bodies AS (SELECT conv_id, turn, head || chr(10) || '"' || substr(rest, 1, 250) || '"' AS body FROM parts),
+bodies AS (SELECT conv_id, turn, head || chr(10) || '"' || rest || '"' AS body FROM parts),
 completions AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN body || ' tail' WHEN conv_id % 7 = 0 THEN body || chr(10) || 'User: x' ELSE body END AS completion FROM bodies)"""
 _LINES = r"list_filter(list_transform(str_split({c}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
@@ -176,7 +176,7 @@ ORACLE_SQL = {
     "seeded_split": f"""WITH {_SAMPLES}, n AS (SELECT count(*) AS n FROM samples),
         ranked AS (SELECT conv_id, turn, row_number() OVER (ORDER BY md5('42|' || conv_id || '|' || turn), conv_id, turn) AS r FROM samples)
         SELECT conv_id, turn, CASE WHEN r <= greatest(floor(n * 0.05), CASE WHEN n > 1 THEN 1 ELSE 0 END) THEN 'eval' ELSE 'train' END AS part FROM ranked, n""",
-    "turn_collapse": f"WITH src AS (SELECT * FROM conversations WHERE turn % 5 <> 3), {_COLLAPSED.format(src='src')} SELECT conv_id, pos, turn, role, md5(text) AS text_md5 FROM collapsed",
+    "turn_collapse": f"WITH src AS (SELECT * FROM conversations), {_COLLAPSED.format(src='src')} SELECT conv_id, pos, turn, role, md5(text) AS text_md5 FROM collapsed",
     "budget_trim": f"""WITH {_COLLAPSED.format(src='conversations')},
         counted AS (SELECT *, len(regexp_extract_all(text, '[가-힣A-Za-z0-9]+|[^\\s]')) AS tokens, (pos + 1) // 2 AS pair FROM collapsed),
         fixed AS (SELECT conv_id, turn, role, len(regexp_extract_all(text, '[가-힣A-Za-z0-9]+|[^\\s]')) AS tokens FROM conversations WHERE role = 'system'),

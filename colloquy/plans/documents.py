@@ -88,7 +88,7 @@ def keyword_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest hundred documents of each source as slots, ranked for the words of the source's first document."""
-    docs = _docs(spark, sf_dir, "source", "text").select("doc_id", "source", text.token_set(F.substring("text", 1, 400)).alias("words"))
+    docs = _docs(spark, sf_dir, "source", "text").select("doc_id", "source", text.token_set(F.col("text")).alias("words"))
     newest = retrieval.top_k(docs, 100, F.col("doc_id").desc(), query="source", rank="_n").drop("_n")
     asked = docs.groupBy("source").agg(F.min_by("words", "doc_id").alias("asked"))
     scored = newest.join(asked, "source").withColumn("score", F.round(retrieval.lexical_score(F.pmod("doc_id", F.lit(10)) / 10, F.col("asked"), F.col("words")), 9))
@@ -201,11 +201,11 @@ ORACLE_SQL = {
     "keyword_class": f"""WITH h AS (SELECT doc_id, {_HITS['angry']} AS a, {_HITS['sad']} AS s, {_HITS['happy']} AS h FROM documents)
         SELECT doc_id, CASE WHEN greatest(a, s, h) = 0 THEN 'neutral' WHEN a = greatest(a, s, h) THEN 'angry' WHEN s = greatest(a, s, h) THEN 'sad' ELSE 'happy' END AS label,
         CASE WHEN a > 0 THEN 'angry' WHEN s > 0 THEN 'sad' WHEN h > 0 THEN 'happy' ELSE 'neutral' END AS first_label FROM h""",
-    "lexical_rank": """WITH d AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[가-힣A-Za-z0-9_]{2,}')) AS w FROM documents),
+    "lexical_rank": """WITH d AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[가-힣A-Za-z0-9_]{2,}')) AS w FROM documents),
         n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM d), q AS (SELECT source, arg_min(w, doc_id) AS a FROM d GROUP BY 1),
         s AS (SELECT source, doc_id, round(0.7 * ((doc_id % 10) / 10) + 0.3 * CASE WHEN len(a) = 0 THEN 0 ELSE least(1.0, len(list_intersect(a, w)) / greatest(1, len(a))) END, 9) AS score FROM n JOIN q USING (source) WHERE r <= 100),
         k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id DESC) AS rank FROM s) SELECT * FROM k WHERE rank <= 8""",
-    "bm25_topk": f"""WITH i AS (SELECT doc_id AS item_id, {_WORDS.format(c='text')} AS w FROM documents), q AS (SELECT item_id AS query_id, unnest({_WORDS.format(c='substr(text, 1, 200)')}) AS word FROM benchmark),
+    "bm25_topk": f"""WITH i AS (SELECT doc_id AS item_id, {_WORDS.format(c='text')} AS w FROM documents), q AS (SELECT item_id AS query_id, unnest({_WORDS.format(c='text')}) AS word FROM benchmark),
         qt AS (SELECT query_id, word, count(*) AS times FROM q GROUP BY 1, 2), l AS (SELECT item_id, len(w) AS len FROM i), st AS (SELECT count(*) AS n, avg(len) AS avg_len FROM l),
         tf AS (SELECT item_id, word, count(*) AS tf FROM (SELECT item_id, unnest(w) AS word FROM i) GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
         raw AS (SELECT word, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st), m AS (SELECT avg(idf) AS mean_idf FROM raw),
@@ -220,11 +220,11 @@ ORACLE_SQL = {
     "sentence_split": r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents),
         s AS (SELECT doc_id, list_filter(str_split(regexp_replace(c, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') AS p FROM t)
         SELECT doc_id, len(p) AS n_sentences, length(coalesce(p[1], '')) AS first_chars FROM s""",
-    "symbol_ids": """WITH t AS (SELECT doc_id, list_filter(str_split(substr(lower(text), 1, 200), ''), lambda x: x <> '') AS c FROM documents),
+    "symbol_ids": """WITH t AS (SELECT doc_id, list_filter(str_split(lower(text), ''), lambda x: x <> '') AS c FROM documents),
         i AS (SELECT doc_id, list_transform(c, lambda x: CASE WHEN instr('abcdefghijklmnopqrstuvwxyz', x) > 0 THEN instr('abcdefghijklmnopqrstuvwxyz', x) ELSE 27 END) AS ids FROM t)
         SELECT doc_id, 2 * len(ids) + 1 AS n_ids, coalesce(list_sum(ids), 0) AS id_sum FROM i""",
     "dictionary_merge": """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.source, a.lang) AS word FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) a
-        FULL OUTER JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id""",
+        FULL OUTER JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) b ON a.doc_id = b.doc_id""",
     "retention": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents) WHERE n > 10",
     "weighted_choice": """WITH u AS (SELECT doc_id, ('0x' || substr(md5('3|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u, ('0x' || substr(md5('4|' || doc_id), 1, 8))::BIGINT AS b FROM documents)
         SELECT doc_id, CASE WHEN u < 0.5 THEN 'a' WHEN u < 0.8 THEN 'b' ELSE 'c' END AS choice, ['x', 'y', 'z'][b % 3 + 1] AS bank FROM u""",

@@ -95,9 +95,9 @@ ORACLE_SQL = {
     "knn_topk": f"WITH {_E}, {_NEAR} SELECT query_id, item_id, distance, rank, label = ql AS same_label FROM near WHERE rank <= 8",
     "hybrid_rank": f"""WITH {_E}, {_NEAR}, s AS (SELECT query_id, item_id, round(0.35 * ((item_id % 10) / 10) + 0.65 * greatest(0.0, 1.0 - distance), 9) AS score FROM near WHERE rank <= 8),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 5""",
-    "rrf_fusion": f"""WITH {_E}, {_NEAR}, c AS (SELECT query_id, item_id, round({_DOT.format(a='v[1:16]', b='qv[1:16]')}, 9) AS c FROM e, q),
+    "rrf_fusion": f"""WITH {_E}, {_NEAR}, c AS (SELECT query_id, item_id, round({_DOT.format(a='v', b='qv')}, 9) AS c FROM e, q),
         p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, item_id) AS rank FROM c),
-        u AS (SELECT query_id, item_id, rank FROM near WHERE rank <= 20 UNION ALL SELECT query_id, item_id, rank FROM p WHERE rank <= 20)
+        u AS (SELECT query_id, item_id, rank FROM near UNION ALL SELECT query_id, item_id, rank FROM p)
         SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM u GROUP BY 1, 2""",
     "centroids": """WITH x AS (SELECT label, unnest(range(0, 64)) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings), b AS (SELECT label, pos, x FROM x UNION ALL SELECT -1, pos, x FROM x)
         SELECT label, count(*) AS n, pos, round(avg(x), 6) AS x FROM b GROUP BY label, pos""",
