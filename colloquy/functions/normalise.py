@@ -59,17 +59,15 @@ def english_number(n: int) -> str:
 
 
 def english_year(n: int) -> str:
-    """Numbers between 1000 and 3000 as years are read; others as numbers."""
+    """Numbers between 1000 and 3000 are read as years, in two halves; others as numbers."""
     if not 1000 < n < 3000:
         return english_number(n)
-    if n == 2000:
-        return "two thousand"
-    if 2000 < n < 2010:
-        return "two thousand " + english_number(n % 100)
-    if n % 100 == 0:
-        return english_number(n // 100) + " hundred"
-    low = n % 100
-    return english_number(n // 100) + " " + (f"oh {_ONES[low]}" if low < 10 else english_number(low))
+    century, rest = divmod(n, 100)
+    if century == 20 and rest < 10:
+        halves = ["two thousand", _ONES[rest] if rest else ""]
+    else:
+        halves = [english_number(century), english_number(rest) if rest >= 10 else f"oh {_ONES[rest]}" if rest else "hundred"]
+    return " ".join(filter(None, halves))
 
 
 def english_ordinal(n: int) -> str:
@@ -78,25 +76,33 @@ def english_ordinal(n: int) -> str:
     return head + sep + last
 
 
-def _dollars(m: re.Match) -> str:
-    parts = m[1].split(".")
-    if len(parts) > 2:
-        return m[1] + " dollars"
-    whole, cents = (int(p) if p else 0 for p in (parts + ["0"])[:2])
-    said = [f"{n} {name}{'' if n == 1 else 's'}" for n, name in ((whole, "dollar"), (cents, "cent")) if n]
-    return ", ".join(said) or "zero dollars"
+#: A number as it is written: dollars, pounds, or a plain one with a fraction or the ending of an ordinal.
+_WRITTEN = re.compile(r"\$(?P<dollars>[0-9.,]*[0-9])|£(?P<pounds>[0-9,]*[0-9])|(?P<number>[0-9](?:[0-9,]*[0-9])?)(?:\.(?P<fraction>[0-9]+))?(?:(?P<nth>st|nd|rd|th))?")
+
+
+def _money(amount: str) -> str:
+    """Dollars, and behind one point cents."""
+    units = amount.split(".")
+    if len(units) > 2:
+        return ". ".join(english_year(int(u)) for u in units if u) + " dollars"
+    counted = [(int(u or 0), name) for u, name in zip(units, ("dollar", "cent"), strict=False)]
+    return ", ".join(f"{english_year(n)} {name}" + "s" * (n != 1) for n, name in counted if n) or "zero dollars"
+
+
+def _read_out(m: re.Match) -> str:
+    found = {k: v.replace(",", "") for k, v in m.groupdict().items() if v is not None}
+    if "dollars" in found:
+        return _money(found["dollars"])
+    if "pounds" in found:
+        return english_year(int(found["pounds"])) + " pounds"
+    *before, last = (int(found[k]) for k in ("number", "fraction") if k in found)
+    return " point ".join([*map(english_year, before), (english_ordinal if "nth" in found else english_year)(last)])
 
 
 def english(text: str | None) -> str:
     """Numbers in words - with separators, pounds, dollars, decimals, ordinals and years - and plain punctuation, with a
     space behind it."""
-    t = re.sub(r"([0-9][0-9,]+[0-9])", lambda m: m[1].replace(",", ""), text or "")
-    t = re.sub(r"£([0-9,]*[0-9]+)", r"\1 pounds", t)
-    t = re.sub(r"\$([0-9.,]*[0-9]+)", _dollars, t)
-    t = re.sub(r"([0-9]+\.[0-9]+)", lambda m: m[1].replace(".", " point "), t)
-    t = re.sub(r"([0-9]+)(?:st|nd|rd|th)", lambda m: english_ordinal(int(m[1])), t)
-    t = re.sub(r"[0-9]+", lambda m: english_year(int(m[0])), t)
-    return re.sub(r"([,;.?!])(\w)", r"\1 \2", _english_marks(t))
+    return re.sub(r"([,;.?!])(\w)", r"\1 \2", _english_marks(_WRITTEN.sub(_read_out, text or "")))
 
 
 _HAN = "零一二三四五六七八九"
@@ -134,13 +140,18 @@ def han_number(digits: str, *, point: str = "点", ones: bool = False, units: tu
 _KEEP_JA = re.compile(r"[^぀-ゟ゠-ヿ一-鿿㐀-䶿々０-９A-Za-zＡ-Ｚａ-ｚͰ-Ͽἀ-῿" + re.escape("!?.,'-") + r"]+")
 
 
+#: Currency sign, digits with separators before groups of three, fraction.
+_AMOUNT_JA = re.compile(r"([$¥£€])?([0-9]+(?:,[0-9]{3}[0-9]*)*(?:\.[0-9]+)?)")
+
+
+def _amount_ja(m: re.Match) -> str:
+    return han_number(m[2].replace(",", "")) + (CURRENCY_JA[m[1]] if m[1] else "")
+
+
 def japanese(text: str | None) -> str:
     """Composed forms, numbers in numerals, wave dashes as long vowels, plain punctuation; only letters that can be
     read stay, without combining voice marks."""
-    t = unicodedata.normalize("NFKC", text or "")
-    t = re.sub(r"[0-9]{1,3}(?:,[0-9]{3})+", lambda m: m[0].replace(",", ""), t)
-    t = re.sub(r"([$¥£€])([0-9.]*[0-9])", lambda m: m[2] + CURRENCY_JA[m[1]], t)
-    t = re.sub(r"[0-9]+(?:\.[0-9]+)?", lambda m: han_number(m[0]), t)
+    t = _AMOUNT_JA.sub(_amount_ja, unicodedata.normalize("NFKC", text or ""))
     t = re.sub("[~～〜]", "ー", t)
     return re.sub("[゙゚]", "", _KEEP_JA.sub("", _all_marks(t)))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import scores, text, vectors
-from colloquy.functions.similarity import echo_of, echoes, redundant
+from colloquy.functions.similarity import echo_ratio, is_echo, redundant
 from colloquy.operators import conversations as conv
 from colloquy.operators import fsm, memory, sampling, speech
 from colloquy.streaming.memory import score_one
@@ -52,9 +52,35 @@ def test_vectors(spark):
     assert sum(x * x for x in one(spark, vectors.hashed_embedding(words("a b c a"), 16))[0]) == pytest.approx(1.0)
 
 
-def test_similarity():
-    assert echo_of("hello there", "hello there") == 1.0 and echo_of("", "x") == 0.0
-    assert echoes("this is a long enough sentence", "well, this is a long enough sentence, really, you know it") and not echoes("abc", "xyz")
+def test_similarity(spark):
+    lit = lambda *xs: [F.lit(x) for x in xs]
+    long = lit("this is a long enough sentence", "well, this is a long enough sentence, really, you know it")
+    row = one(spark, echo_ratio(*lit("hello there", "hello there")), echo_ratio(*lit("", "x")), is_echo(*long), is_echo(*lit("abc", "xyz")), is_echo(*lit(None, "x")))
+    assert tuple(row) == (1.0, 0.0, True, False, False)
+
+
+def test_echo_against_matching_every_pair(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    make = lambda: " ".join(rng.choices(["so", "it", "Goes", "“on”", "a", "and", "x?"], k=rng.randint(0, 9)))
+    pairs = [(make(), make()) for _ in range(300)]
+    pairs += [(t, t.replace("so", "to")) for t, _ in pairs[:60]]
+
+    def measure(pair):
+        x, y = (" ".join(t.replace("“", "").replace("”", "").split()).lower() for t in pair)
+        u, v = ({w.strip("?") for w in t.split() if len(w.strip("?")) > 1} for t in (x, y))
+        ratio = max(SequenceMatcher(None, x, y).ratio(), len(u & v) / len(u | v) if u and v else 0.0) if x and y else 0.0
+        return ratio, bool(x and y) and (ratio >= 0.78 or len(x) >= 24 and (x in y or y in x))
+
+    rows = spark.createDataFrame(pairs, "a string, b string").select(echo_ratio(F.col("a"), F.col("b")), is_echo(F.col("a"), F.col("b"))).collect()
+    for row, pair in zip(rows, pairs, strict=True):
+        ratio, echo = measure(pair)
+        assert row[0] == pytest.approx(ratio) and row[1] == echo, pair
+
+
+def test_redundant():
     assert redundant("Same words here!", "Same, words... here") and not redundant("short", "short")
 
 
