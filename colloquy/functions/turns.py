@@ -301,3 +301,29 @@ def crisis_code(c: Column, player: Column) -> Column:
         ("crisis_requires_single_quote", ~(dialogue.startswith('"') & dialogue.endswith('"'))),
         ("crisis_player_third_person", third_person(unquoted(dialogue), player)),
     ])
+
+
+# How dialogue ends in a narration, and the particles behind a pronoun.
+SPOKEN_END = r"(?U)(요|죠|네요|군요|할게|줄게|가자|하자|해줘|알겠어|알았어|걱정\s*마)$"
+PARTICLES = "은|는|이|가|을|를|의|에게|에서|으로|와|과|랑|한테|께|도|만|까지|부터|조차|마저|처럼|보다"
+
+
+def told_as_dialogue(c: Column, *names: Column) -> Column:
+    """Whether a narration sounds like speech: a question or exclamation mark, a name called, or a sentence that ends as
+    speech does."""
+    out = _given(c).rlike("[?!]")
+    for n in names:
+        out = out | _named(_given(c), n, r"\b", r"\s*,")
+    return out | F.exists(F.transform(F.split(_given(c), r"(?U)[.…]\s*", -1), strip), lambda x: x.rlike(SPOKEN_END))
+
+
+def replace_word(c: Column, word: Column, by: Column) -> Column:
+    """A word replaced where no letter touches it; an empty or null word or replacement changes nothing."""
+    pattern = F.concat(F.lit("(?<![가-힣A-Za-z])"), literal(word), F.lit("(?![가-힣A-Za-z])"))
+    return F.when((_given(word) != "") & (_given(by) != ""), F.regexp_replace(c, pattern, _replacement(by))).otherwise(c)
+
+
+def pronoun_for_protagonist(c: Column, female: Column) -> Column:
+    """The general word for the protagonist as a pronoun, with the particle it has."""
+    pronoun = F.when(F.coalesce(female, F.lit(False)), "그녀").otherwise("그")
+    return F.regexp_replace(c, F.lit(rf"(?U)\b주인공({PARTICLES})?\b"), F.concat(pronoun, F.lit("$1")))
