@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.scores import clamp
 from colloquy.functions.text import one_space, strip
-from colloquy.functions.turns import literal, visible_lines
+from colloquy.functions.turns import bound, literal, visible_lines
 
 # How long the texts of a candidate may be, and the fields of a payload.
 CANDIDATE_TEXTS = {"type": 40, "subject": 24, "key": 120, "value": 400}
@@ -24,8 +24,7 @@ QUOTED_LINE = r'^"[^"\n]+"$'
 def whole_json(c: Column) -> Column:
     """The text as one JSON value, as a variant; null if anything stands beside it."""
     boxed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    items = F.try_variant_get(boxed, "$", "array<variant>")
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+    return bound(F.try_variant_get(boxed, "$", "array<variant>"), lambda items: F.when(F.size(items) == 1, F.get(items, F.lit(0))))
 
 
 def outermost_object(c: Column) -> Column:
@@ -74,8 +73,10 @@ def valid_payload(c: Column, player: Column, protagonist: Column, action_first:
     """Whether a JSON text is a payload: a user's text that does not name its speaker (with ``action_first``: whose last
     line does not hold the player's name, else: that does not begin with it), an answer of two lines that begins with the
     protagonist and ends in a quote, and a scene of that speaker with both blocks in both languages."""
-    root = whole_json(c)
+    return bound(whole_json(c), lambda root: _valid_payload(root, player, protagonist, action_first))
 
+
+def _valid_payload(root: Column, player: Column, protagonist: Column, action_first: Column) -> Column:
     def text(path: str) -> Column:
         kind = F.schema_of_variant(F.try_variant_get(root, path, "variant"))
         return F.when(kind == "STRING", F.try_variant_get(root, path, "string"))

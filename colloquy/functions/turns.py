@@ -5,14 +5,15 @@ null name matches nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import balanced_quotes, first_failure, one_space, strip
 
-# Patterns, silent quotes, default lines and codes that results depend on.
+# Patterns, silent quotes, default lines and codes that results depend on. Patterns that are only looked
+# for begin at the last character that decides, so that long lines take no quadratic time.
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 QUOTE = r'"([^"]+)"'
 SILENT = ("...", "…")
@@ -23,7 +24,7 @@ COLON = r"[:：]"
 COLON_HEAD = r"(?U)^\s*[:：]"
 LABEL_HEAD = r"(?iU)^\s*(요구|선언|결정|선택|지시|조건|판정|명령)\s*[:：]\s*"
 META = r"(?iU)(\*+|프롬프트|요청하신|요청된|시나리오북|헌법|검증|메타|role\s*check|system\s*check|langgraph|fsm|phase|노드|그래프|평가|json|prompt|instruction|guideline)"
-META_BLOCK = r"(?iU)(장면\s*전환|다음\s*장면|다음\s*장면\s*전개|다음\s*행동|선택지|선택하세요|다음\s*전개|전개\s*요약|요약\s*:|결론\s*:|소마의\s*다음\s*행동.*|.+의\s*선택\s*:)"
+META_BLOCK = r"(?iU)(장면\s*전환|다음\s*장면|다음\s*장면\s*전개|다음\s*행동|선택지|선택하세요|다음\s*전개|전개\s*요약|요약\s*:|결론\s*:|소마의\s*다음\s*행동|.의\s*선택\s*:)"
 META_BLOCK_LINE = r"(?iU)^\s*(---+|장면\s*전환|다음\s*장면.*|다음\s*장면\s*전개:.*|선택지.*|선택하세요.*|.*의\s*선택\s*:.*|다음\s*행동.*)\s*$"
 POLICY_LINE = (
     r"(?iU)^\s*(?:[-•·]\s*)?(?:\d+\.\s*)?(장르|관계\s*상태|관계\s*변화\s*의도|현재\s*상태|현재\s*국면|행위/사건\s*상태|응답\s*모드|성행위\s*허용|정서의존\s*허용도|정신\s*불안정|"
@@ -35,7 +36,7 @@ POLICY_PHRASE = (
     r"(적대|거리감|친밀|사랑)\s*단계|사랑의\s*관계|관계로\s*연결)"
 )
 FORMAL = r"(?U)(습니다|합니다|됩니|십니다|세요|이에요|예요|에요|니다)(?:[\s.!?…]|$)"
-DANGLING = r"(?:[가-힣A-Za-z0-9]+(?:을|를|이|가|은|는|와|과|에게|한테|께)|그리고|하지만|그런데|그래서|그러니까|혹은|또는|만약)$"
+DANGLING = r"(?:[가-힣A-Za-z0-9](?:을|를|이|가|은|는|와|과|에게|한테|께)|그리고|하지만|그런데|그래서|그러니까|혹은|또는|만약)$"
 TOLD = r"(?U)(했다|되었다|있었다|이었다|였다)\b"
 BRACKET_LABEL = r"(?iU)^\s*[\[(].*?(서술|대사|행동|출력|정보|첫\s*번째|첫째|둘째).*?[\])]\s*$"
 OWNED_LABEL = r"(?iU)^[^\s]{1,12}의\s*(서술|대사|행동|반응|대답|신체적\s*반응|행동/신체적\s*반응(?:\s*및\s*대사)?)"
@@ -51,6 +52,16 @@ def _given(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once, however often the expression has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _at(rows: Column, i: int) -> Column:
+    """An element counted from 0, or from the end if below; empty where there is none."""
+    return _given(F.try_element_at(rows, F.lit(i + 1 if i >= 0 else i)))
+
+
 def visible_lines(c: Column) -> Column:
     """Trimmed lines at every line end that Unicode knows, without blank ones."""
     return F.filter(F.transform(F.split(_given(c), LINE_END, -1), strip), lambda x: x != "")
@@ -63,8 +74,7 @@ def quotes(c: Column) -> Column:
 
 def single_quote(c: Column) -> Column:
     """The quoted text if there is exactly one, else null."""
-    found = quotes(c)
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    return bound(quotes(c), lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
 
 
 def unquoted(c: Column) -> Column:
@@ -97,18 +107,19 @@ def third_person(c: Column, name: Column) -> Column:
 
 def truncated(c: Column) -> Column:
     """Whether a quoted text of eight characters or more stops at a particle or a connective."""
-    plain = one_space(unquoted(c))
-    return (F.length(plain) >= TRUNCATED_FROM) & plain.rlike(DANGLING)
+    return bound(one_space(unquoted(c)), lambda plain: (F.length(plain) >= TRUNCATED_FROM) & plain.rlike(DANGLING))
 
 
 def strip_label(c: Column) -> Column:
     """A line without the labels before it; one that is nothing but a label becomes empty."""
-    whole = strip(_given(c))
-    out = F.regexp_replace(whole, r"(?iU)^\s*ACT\s*\d+\s*[:：]\s*", "")
-    for pattern in (r"(?U)^\s*\d+\s*[.)]\s*", OWNED_LABEL + r"\s*[:：]?\s*", r"(?U)^\s*[:：]+\s*"):
-        out = F.regexp_replace(out, pattern, "")
-    out = strip(F.regexp_replace(strip(out), LINE_LABEL, ""))
-    return F.when(whole.rlike(BRACKET_LABEL) | out.rlike(OWNED_LABEL + r"\z"), "").otherwise(out)
+    def bare(whole: Column) -> Column:
+        out = F.regexp_replace(whole, r"(?iU)^\s*ACT\s*\d+\s*[:：]\s*", "")
+        for pattern in (r"(?U)^\s*\d+\s*[.)]\s*", OWNED_LABEL + r"\s*[:：]?\s*", r"(?U)^\s*[:：]+\s*"):
+            out = F.regexp_replace(out, pattern, "")
+        out = strip(F.regexp_replace(strip(out), LINE_LABEL, ""))
+        return F.when(whole.rlike(BRACKET_LABEL), "").otherwise(F.regexp_replace(out, OWNED_LABEL + r"\z", ""))
+
+    return bound(strip(_given(c)), bare)
 
 
 def unlabelled_lines(c: Column) -> Column:
@@ -117,25 +128,27 @@ def unlabelled_lines(c: Column) -> Column:
 
 def quoted_line(c: Column) -> Column:
     """One line in quotes: what is between the first and the last quote, or the whole text; dots if that is nothing."""
-    text = strip(_given(c))
-    inner = F.when(F.regexp_count(text, F.lit('"')) >= 2, strip(F.regexp_extract(text, r'(?s)"(.*)"', 1))).otherwise(text)
-    return F.concat(F.lit('"'), F.when(inner == "", SILENT[0]).otherwise(inner), F.lit('"'))
+    def inner(text: Column) -> Column:
+        return F.when(F.regexp_count(text, F.lit('"')) >= 2, strip(F.regexp_extract(text, r'(?s)"(.*)"', 1))).otherwise(text)
+
+    return bound(bound(strip(_given(c)), inner), lambda said: F.concat(F.lit('"'), F.when(said == "", SILENT[0]).otherwise(said), F.lit('"')))
 
 
 def two_lines(c: Column) -> Column:
     """A narration and a quoted line made of any text. The quote is the first line behind the narration that holds
     exactly one quoted text which says something, else the second line; missing narration is filled in."""
     def spoken(x: Column) -> Column:
-        found = single_quote(x)
-        return F.when(~found.isin(*SILENT), F.concat(F.lit('"'), found, F.lit('"')))
+        return bound(single_quote(x), lambda found: F.when(~found.isin(*SILENT), F.concat(F.lit('"'), found, F.lit('"'))))
 
-    rows = unlabelled_lines(c)
-    first, second = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
-    said = F.get(F.filter(F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), spoken), lambda x: x.isNotNull()), F.lit(0))
-    narration = unquoted(first)
-    return F.when(F.size(rows) == 0, f'{BREATH}\n"..."').when(
-        F.size(rows) == 1, F.concat(F.lit(BREATH + "\n"), F.coalesce(spoken(first), quoted_line(unquoted(first))))
-    ).otherwise(F.concat(F.when(narration == "", BREATH).otherwise(narration), F.lit("\n"), F.coalesce(said, quoted_line(unquoted(second)))))
+    def made(rows: Column) -> Column:
+        first = _at(rows, 0)
+        said = F.filter(F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), spoken), lambda x: x.isNotNull())
+        told = bound(unquoted(first), lambda x: F.when(x == "", BREATH).otherwise(x))
+        return F.when(F.size(rows) == 0, f'{BREATH}\n"..."').when(
+            F.size(rows) == 1, F.concat(F.lit(BREATH + "\n"), F.coalesce(spoken(first), quoted_line(unquoted(first))))
+        ).otherwise(F.concat(told, F.lit("\n"), F.coalesce(F.get(said, F.lit(0)), quoted_line(unquoted(_at(rows, 1))))))
+
+    return bound(unlabelled_lines(c), made)
 
 
 def first_sentence(c: Column) -> Column:
@@ -144,25 +157,28 @@ def first_sentence(c: Column) -> Column:
 
 def two_sentences(c: Column, default: str = PAUSE) -> Column:
     """A narration and a quoted line of one sentence each, from the first and the last line."""
-    rows = unlabelled_lines(c)
-    last = F.element_at(F.when(F.size(rows) > 0, rows).otherwise(F.array(F.lit(""))), -1)
-    said = quoted_line(first_sentence(F.coalesce(single_quote(last), unquoted(last))))
-    narration = F.when(F.size(rows) > 1, first_sentence(unquoted(F.get(rows, F.lit(0))))).otherwise("")
-    told = F.when(narration != "", narration).otherwise(F.when(F.size(rows) == 0, F.lit(default)).otherwise(first_sentence(F.lit(default))))
-    return F.concat(told, F.lit("\n"), said)
+    def made(rows: Column) -> Column:
+        last = _at(rows, -1)
+        said = quoted_line(first_sentence(F.coalesce(single_quote(last), unquoted(last))))
+        narration = F.when(F.size(rows) > 1, first_sentence(unquoted(_at(rows, 0)))).otherwise("")
+        missing = F.when(F.size(rows) == 0, F.lit(default)).otherwise(first_sentence(F.lit(default)))
+        return F.concat(bound(narration, lambda x: F.when(x != "", x).otherwise(missing)), F.lit("\n"), said)
+
+    return bound(unlabelled_lines(c), made)
 
 
 def quoted_turn(c: Column) -> Column:
     """A turn without stars: the first line, and the last without its speaker and in quotes; a single line is the
     quote. Blank texts become empty."""
     def quote(x: Column) -> Column:
-        bare = strip(F.regexp_replace(x, SPEAKER_LABEL, ""))
-        return F.when(bare.startswith('"') & bare.endswith('"') & (bare != ""), bare).otherwise(F.concat(F.lit('"'), bare, F.lit('"')))
+        closed = F.concat(F.lit('"'), x, F.lit('"'))
+        return F.when(x.startswith('"') & x.endswith('"') & (x != ""), x).otherwise(closed)
 
-    rows = visible_lines(F.replace(_given(c), F.lit("*"), F.lit("")))
-    return F.when(F.size(rows) == 0, "").when(F.size(rows) == 1, quote(F.get(rows, F.lit(0)))).otherwise(
-        F.concat(F.get(rows, F.lit(0)), F.lit("\n"), quote(F.element_at(F.when(F.size(rows) > 0, rows).otherwise(F.array(F.lit(""))), -1)))
-    )
+    def made(rows: Column) -> Column:
+        said = bound(strip(F.regexp_replace(_at(rows, -1), SPEAKER_LABEL, "")), quote)
+        return F.when(F.size(rows) == 0, "").when(F.size(rows) == 1, said).otherwise(F.concat(_at(rows, 0), F.lit("\n"), said))
+
+    return bound(visible_lines(F.replace(_given(c), F.lit("*"), F.lit(""))), made)
 
 
 def no_space_before_break(c: Column) -> Column:
@@ -214,8 +230,7 @@ def without_square_brackets(c: Column) -> Column:
 def without_meta(c: Column) -> Column:
     """Without the lines that speak about the task instead of the scene, and without what is left of such words."""
     def kept(x: Column) -> Column:
-        row = strip(x)
-        return (row != "") & ~row.rlike(META_BLOCK_LINE) & ~row.rlike(META_BLOCK) & ~row.rlike(META) & ~row.rlike(POLICY_LINE)
+        return bound(strip(x), lambda row: (row != "") & ~row.rlike(META_BLOCK_LINE) & ~row.rlike(META_BLOCK) & ~row.rlike(META) & ~row.rlike(POLICY_LINE))
 
     rows = F.split(F.regexp_replace(_given(c), r"\[\[|\]\]", ""), LINE_END, -1)
     out = F.regexp_replace(F.array_join(F.filter(rows, kept), "\n"), META, "")
@@ -229,10 +244,13 @@ def _silent(c: Column) -> Column:
 def user_code(c: Column, player: Column, protagonist: Column) -> Column:
     """The first rule that a user's turn breaks, or empty. It holds one quote, on its last line, behind at most one line
     of action."""
-    t = strip(_given(c))
-    rows, found = visible_lines(t), quotes(t)
-    first, said = _given(F.get(rows, F.lit(0))), _given(F.get(found, F.lit(0)))
-    last = F.element_at(F.when(F.size(rows) > 0, rows).otherwise(F.array(F.lit(""))), -1)
+    return bound(strip(_given(c)), lambda t: bound(
+        F.struct(t.alias("text"), visible_lines(t).alias("rows"), quotes(t).alias("found")), lambda v: _user_code(v["text"], v["rows"], v["found"], player, protagonist)
+    ))
+
+
+def _user_code(t: Column, rows: Column, found: Column, player: Column, protagonist: Column) -> Column:
+    first, last, said = _at(rows, 0), _at(rows, -1), _at(found, 0)
     leak = F.exists(rows, lambda x: x.rlike(POLICY_LINE)) | t.rlike(POLICY_PHRASE)
     return first_failure([
         ("user_empty", t == ""),
@@ -256,11 +274,13 @@ def user_code(c: Column, player: Column, protagonist: Column) -> Column:
 def assistant_code(c: Column, player: Column, protagonist: Column) -> Column:
     """The first rule that an assistant's turn breaks, or empty. Without labels it has two lines: a narration without
     quotes and one quoted line that is neither silent nor a narration itself."""
-    t = strip(_given(c))
-    rows = unlabelled_lines(t)
-    told, dialogue = _given(F.get(rows, F.lit(0))), _given(F.get(rows, F.lit(1)))
-    found = quotes(dialogue)
-    said = _given(F.get(found, F.lit(0)))
+    return bound(strip(_given(c)), lambda t: bound(unlabelled_lines(t), lambda rows: bound(
+        F.struct(t.alias("text"), rows.alias("rows"), quotes(_at(rows, 1)).alias("found")), lambda v: _assistant_code(v["text"], v["rows"], v["found"], player, protagonist)
+    )))
+
+
+def _assistant_code(t: Column, rows: Column, found: Column, player: Column, protagonist: Column) -> Column:
+    told, dialogue, said = _at(rows, 0), _at(rows, 1), _at(found, 0)
     meta = t.rlike(META) | t.rlike(META_BLOCK) | F.exists(visible_lines(t), lambda x: x.rlike(META_BLOCK_LINE))
     leak = F.exists(rows, lambda x: x.rlike(POLICY_LINE)) | t.rlike(POLICY_PHRASE)
     return first_failure([
@@ -288,9 +308,11 @@ def assistant_code(c: Column, player: Column, protagonist: Column) -> Column:
 
 def crisis_code(c: Column, player: Column) -> Column:
     """The first rule that a turn at a crisis breaks, or empty."""
-    t = strip(_given(c))
-    rows = visible_lines(t)
-    told, dialogue = _given(F.get(rows, F.lit(0))), _given(F.get(rows, F.lit(1)))
+    return bound(strip(_given(c)), lambda t: bound(F.struct(t.alias("text"), visible_lines(t).alias("rows")), lambda v: _crisis_code(v["text"], v["rows"], player)))
+
+
+def _crisis_code(t: Column, rows: Column, player: Column) -> Column:
+    told, dialogue = _at(rows, 0), _at(rows, 1)
     return first_failure([
         ("crisis_empty", t == ""),
         ("crisis_forbidden_chars", t.rlike(PARENTHESIS_OR_STAR)),
