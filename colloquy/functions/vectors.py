@@ -25,6 +25,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def unit_cosine(a: Column, b: Column) -> Column:
+    """The cosine brought to 0 to 1."""
+    return (F.greatest(F.least(cosine(a, b), F.lit(1.0)), F.lit(-1.0)) + 1.0) / 2.0
+
+
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(double(a), double(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
