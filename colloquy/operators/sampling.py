@@ -40,6 +40,25 @@ def smallest(df: DataFrame, digest: str, n: int, *, digits: int = 4, ties: Seque
     return df.filter(lead != edge["lead"]).withColumn("chosen", lead < edge["lead"]).unionByName(inside)
 
 
+def first_of_groups(df: DataFrame, n: int, rank: str, *, group: str, order: Sequence[Column], shard: Column) -> tuple[DataFrame, DataFrame]:
+    """(first, rest): the first ``n`` rows of each group, with their rank, and all others. Shards of a group are ranked
+    by themselves and only the first n of each together, so a large group is no single task's work. Null groups are one."""
+    dealt = df.withColumn(rank, F.row_number().over(W.partitionBy(group, shard).orderBy(*order)))
+    last = dealt.filter(F.col(rank) <= n).withColumn(rank, F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    return last.filter(F.col(rank) <= n), dealt.filter(F.col(rank) > n).unionByName(last.filter(F.col(rank) > n)).drop(rank)
+
+
+def rank_in_group(df: DataFrame, rank: str, *, group: str, digest: str, ties: Sequence[str] = (), digits: int = 3) -> DataFrame:
+    """``df`` with the 0-based rank of each row of a group by digest: what the group has under smaller first hex digits,
+    counted, and the rank among those of the same digits. Rows of a null group are left out."""
+    lead = F.substring(digest, 1, digits)
+    counts = df.groupBy(F.col(group).alias("_of"), lead.alias("_lead")).agg(F.count("*").alias("_n"))  # 16**digits rows a group at most
+    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy("_of").orderBy("_lead")) - F.col("_n")).drop("_n")
+    ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(group, lead).orderBy(digest, *ties)) - 1)
+    joined = ranked.join(before, (F.col(group) == F.col("_of")) & (lead == F.col("_lead")))
+    return joined.withColumn(rank, F.col(rank) + F.col("_before")).drop("_of", "_lead", "_before")
+
+
 def split(df: DataFrame, *ids: str, ratio: float, seed: str) -> DataFrame:
     """``df`` with ``part``: eval for ``eval_size`` rows, train for the others."""
     n = eval_size(df.count(), ratio)
@@ -51,10 +70,10 @@ def holdout_by_group(df: DataFrame, *, group: str, ids: Sequence[str], per_group
     """``df`` with ``part``: val for ``per_group`` rows of each group, but ``total`` at most, the rest train. Only the
     held-out rows, a few for each group, are ranked together."""
     digest = df.withColumn("_digest", seeded(seed, *[F.col(i) for i in ids]))
-    ranked = digest.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy("_digest", *ids)))
-    held = smallest(ranked.filter(F.col("_n") <= per_group), "_digest", total, ties=ids)
+    first, rest = first_of_groups(digest, per_group, "_n", group=group, order=[F.col(c) for c in ("_digest", *ids)], shard=F.substring("_digest", 1, 2))
+    held = smallest(first.drop("_n"), "_digest", total, ties=ids)
     out = held.withColumn("part", F.when(F.col("chosen"), "val").otherwise("train")).drop("chosen")
-    return out.unionByName(ranked.filter(F.col("_n") > per_group).withColumn("part", F.lit("train"))).drop("_digest", "_n")
+    return out.unionByName(rest.withColumn("part", F.lit("train"))).drop("_digest")
 
 
 def weighted_choice(u: Column, choices: dict[str, float]) -> Column:
@@ -71,9 +90,12 @@ def bank_choice(digest: Column, bank: Sequence[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, bank)), (F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(len(bank))) + 1).cast("int"))
 
 
-def keep_newest(df: DataFrame, *, group: str, order: str, keep: int) -> DataFrame:
-    """The rows beyond the newest ``keep`` of each group: what retention would delete."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(F.col(order).desc()))).filter(F.col("_n") > keep).drop("_n")
+def keep_newest(df: DataFrame, *, group: str, order: str, keep: int, spared: Column | None = None, shards: int = 64) -> DataFrame:
+    """The rows beyond the newest ``keep`` of each group: what retention would delete. ``spared`` rows, such as the first
+    checkpoint, are neither counted nor deleted."""
+    rows = df if spared is None else df.filter(~F.coalesce(spared, F.lit(False)))
+    shard = F.pmod(F.xxhash64(order), F.lit(shards))
+    return first_of_groups(rows, keep, "_n", group=group, order=[F.col(order).desc()], shard=shard)[1]
 
 
 def length_buckets(length: Column, bounds: Sequence[int]) -> Column:
@@ -92,9 +114,10 @@ def padded_buckets(df: DataFrame, bucket: str, *, multiple: int) -> DataFrame:
 
 def bucket_batches(df: DataFrame, bucket: str, *ids: str, replicas: int, batch: int, epoch: int = 0) -> DataFrame:
     """Rows of each bucket in a seeded order, repeated up to a multiple of replicas * batch and dealt to replicas in
-    turn: (bucket, replica, step, ids). Within a bucket rows are ranked by digest; ranks wrap round for the padding."""
+    turn: (bucket, replica, step, ids). Within a bucket rows are ranked by digest, in parts by its first digits; ranks wrap
+    round for the padding."""
     rows = df.filter(F.col(bucket).isNotNull()).withColumn("_digest", seeded(str(epoch), *[F.col(i) for i in ids]))
-    ranked = rows.withColumn("_at", F.row_number().over(W.partitionBy(bucket).orderBy("_digest", *ids)) - 1)
+    ranked = rank_in_group(rows, "_at", group=bucket, digest="_digest", ties=ids)
     sizes = padded_buckets(df, bucket, multiple=replicas * batch).withColumnRenamed(bucket, "_bucket")
     times = F.ceil((F.col("padded") - F.col("_at")) / F.col("n")).cast("int")
     spread = ranked.join(sizes, F.col(bucket) == F.col("_bucket")).withColumn("_again", F.explode(F.sequence(F.lit(0), times - 1)))
