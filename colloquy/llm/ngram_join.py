@@ -159,7 +159,9 @@ class Blocks:
 
     A pair counts under the class of its larger set, of sizes ``low`` to ``high``: it differs in ``most`` n-grams at most,
     so of ``most + 1 + spare`` blocks at least ``1 + spare`` are the same in both. A block of ``weak`` n-grams or fewer
-    says little. Documents leave theirs out, unless they have more than ``spare`` of them."""
+    says little. Documents leave theirs out, unless they have more than ``spare`` of them: then they give all, empty ones
+    too, and any two such documents meet in those. So ``spare`` goes by the least set that may be paired under the class,
+    not by the least of the class."""
 
     RATIO = 1.5
     MOST = 1 << 44  # no text has more n-grams
@@ -175,12 +177,15 @@ class Blocks:
         most = (100 - self.percent) * 2 * high // (100 + self.percent)
         if most == 0:
             return 0, 0, 0
+        least = -(-low * self.percent // 100)
         for weak in (1, 0):
             spare = 0
             for _ in range(30):
-                fill = low / (most + 1 + spare)
-                mean = (most + 1 + spare) * np.exp(-fill) * (1 + fill * weak)
-                spare, was = int(np.ceil(mean + 4 * np.sqrt(mean) + 1)), spare
+                blocks = most + 1 + spare
+                fill = least / blocks
+                share = np.exp(-fill) * (1 + fill * weak)
+                deviation = np.sqrt(blocks * max(0.0, share * (1 - share) - fill ** (1 + 2 * weak) * np.exp(-2 * fill)))
+                spare, was = int(np.ceil(blocks * share + 3 * deviation + 1)), spare
                 if spare == was or spare > most + 8:
                     break
             if spare <= max(4, most * 0.35):

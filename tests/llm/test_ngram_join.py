@@ -165,3 +165,16 @@ def test_crowds_of_half_alike_documents(spark):
     want = brute(rows, 4, 85)
     for crowd, rounds in ((64, 2), (1, 1)):
         assert sorted(map(tuple, similarity_components(docs, k=4, percent=85, crowd=crowd, rounds=rounds).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_least_sets_of_a_class_leave_their_weak_blocks_out(percent):
+    """Sets that give all their blocks meet in empty ones, all with all; those just under a class's sizes did."""
+    rng, plan, tried = np.random.default_rng(percent), Blocks(percent), 0
+    for c, low in enumerate(plan.low[:26]):
+        n = -(-low * percent // 100)
+        if plan.plan[c][0] and c in plan.classes(n):
+            given = [plan.signatures(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)))[0][c - plan.first(n)] for _ in range(20)]
+            tried += 1
+            assert sum(x < 0 for x in given) <= 2, (c, n)
+    assert tried > 15
