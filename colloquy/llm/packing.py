@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.llm.memory import give_back
 from colloquy.session import materialise
 
 #: Splits only at what every Unicode-aware expression takes for white space.
@@ -121,6 +122,10 @@ class WordTokenizer:
             self.known.clear()
         return b"".join(map(self.known.__getitem__, words))
 
+    def forget(self) -> None:
+        """Drop the remembered words; the tokenizer itself stays."""
+        self.known.clear()
+
 
 _loaded: dict[str, WordTokenizer] = {}
 
@@ -166,6 +171,8 @@ def tokenize_pieces(
             if with_ids:
                 cols.append(pa.array(out, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        tok.forget()  # else an idle worker holds its words while another stage runs
+        give_back()
 
     return docs.select(doc_id, text).mapInArrow(run, T.StructType(fields))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -56,6 +57,18 @@ def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
+def many_grams(words: list[str], portion: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """``char_grams`` of any number of words, in portions: buckets take two bytes, and what is worked out on the way to
+    them, tens of times as much, is held for one portion alone."""
+    buckets, begins, size = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)], 0
+    for i in range(0, len(words), portion):
+        bucket, begin = char_grams(words[i : i + portion])
+        buckets.append(bucket.astype(np.uint16))
+        begins.append(begin + size)
+        size += len(bucket)
+    return np.concatenate(buckets), np.concatenate(begins)
+
+
 @dataclass
 class Model:
     """Weights; ``vocabulary`` numbers known words from 1, and 0 stands for none."""
@@ -251,8 +264,8 @@ def train(texts: Iterable[str], toxic: np.ndarray, *, prior: float, most_words:
     rank = np.where(toxic == 1, np.cumsum(toxic), np.cumsum(1 - toxic))
     apart = (rank % 5 == 0) & (min(toxic.sum(), (1 - toxic).sum()) >= 25)
     all_words, split = _numbered(texts)
-    grams, begins = char_grams(all_words) if all_words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    grams, ends = grams.astype(np.int32), np.append(begins[1:], len(grams)) if all_words else begins
+    grams, begins = many_grams(all_words)
+    ends = np.append(begins[1:], len(grams)) if all_words else begins
 
     def grams_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of words numbered from 0, and which of these words has them."""
@@ -294,12 +307,18 @@ def train(texts: Iterable[str], toxic: np.ndarray, *, prior: float, most_words:
     del cuts, split
     rng, moment, square, step = np.random.default_rng(seed), {k: np.zeros_like(v) for k, v in m.p.items()}, {k: np.zeros_like(v) for k, v in m.p.items()}, 0
 
-    def logits(of: np.ndarray) -> np.ndarray:
-        x = inputs(np.arange(len(all_words) + 1))[0]
-        return window_logits(rows[of], *[x @ m.p[f"W{w}"] + m.p[f"c{w}"] for w in "fb"], m.p)
+    def logits(of: np.ndarray, portion: int = 1024) -> np.ndarray:
+        out = [np.zeros(0, np.float32)]
+        for i in range(0, len(of), portion):  # the words of a portion alone have inputs, however many there are in all
+            part = rows[of[i : i + portion]]
+            used, at = np.unique(np.append(0, part.ravel()), return_inverse=True)
+            x = inputs(used)[0]
+            out.append(window_logits(at[1:].reshape(part.shape), *[x @ m.p[f"W{w}"] + m.p[f"c{w}"] for w in "fb"], m.p))
+        return np.concatenate(out)
 
     # before the network knows anything: the window with the strongest association
-    totals = np.add.reduceat(by_gram[grams], begins) / 4 if len(grams) else np.zeros(0)
+    parts = [(begins[i : i + 8192], ends[i : i + 8192]) for i in range(0, len(begins), 8192)]
+    totals = np.concatenate([np.zeros(0), *[np.add.reduceat(by_gram[grams[a[0] : b[-1]]], a - a[0]) / 4 for a, b in parts]])
     lean = np.append(0.0, by_word[1:] + totals)
     strength = np.concatenate([np.sort(lean[rows[i : i + 8192]], axis=1)[:, -3:].sum(axis=1) for i in range(0, len(rows), 8192)])
     clean, bad = np.flatnonzero((toxic == 0) & ~apart), np.flatnonzero((toxic == 1) & ~apart)
@@ -406,10 +425,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
                 for x in batch.column(0):
                     yield x.as_py()
 
-        held = list(texts())
-        names, shapes, parts = zip(*_as_rows(train(held, np.array(toxic, dtype=np.int64), prior=prior)), strict=True)
+        held = deque(texts())
+        given = (held.popleft() for _ in range(len(held)))  # a text that has been numbered is held no longer
+        names, shapes, parts = zip(*_as_rows(train(given, np.array(toxic, dtype=np.int64), prior=prior)), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(shapes, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["name", "shape", "data"])
-        del held
         give_back()
 
     found = rows.mapInArrow(run, _PARTS).toArrow().to_pylist()

@@ -100,3 +100,18 @@ def test_few_sequences():
     lengths = np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, 4095)
     sequence, offset = sum_of_squares(lengths, 4096)
     assert check_places(lengths, sequence, offset, 4096) <= 1.005 * lengths.sum() / 4096 + 1
+
+
+def test_idle_workers_hold_no_words(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS * 4)), "doc_id long, text string").repartition(4)
+    assert tokenize_pieces(docs, tokenizer_path=PATH).count() == len(TEXTS) * 4
+
+    def held(batches):
+        import pyarrow as pa
+
+        from colloquy.llm.packing import _loaded
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(t.known) for t in _loaded.values())] * batch.num_rows})
+
+    assert all(r["n"] == 0 for r in spark.range(0, 64, 1, 4).mapInArrow(held, "n bigint").collect())

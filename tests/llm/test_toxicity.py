@@ -174,3 +174,27 @@ def test_very_long_text(model):
     long = "lo mi ra te su no ka " * 60_000
     scores = tox.Scorer(model).scores([long, long + "stupid moron"])
     assert scores[0] < 0.3 < scores[1]
+
+
+def test_grams_in_portions():
+    words = ["".join(random.Random(i).choices("abcdefgé中", k=i % 7 + 1)) for i in range(50)]
+    whole, begins = tox.char_grams(words)
+    for portion in (1, 7, 49, 50, 51):
+        parts, at = tox.many_grams(words, portion)
+        assert np.array_equal(parts, whole) and np.array_equal(at, begins)
+    assert [len(x) for x in tox.many_grams([])] == [0, 0]
+
+
+def test_training_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(4)
+    labels = np.array([i % 3 == 0 for i in range(120)], dtype=np.int64)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=9)) for _ in range(500)) for _ in labels]
+    tracemalloc.start()
+    try:
+        tox.train(iter(texts), labels, prior=0.3, epochs=2)
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert most < 65, most  # 46 MB; 91 when all words were worked out at once
