@@ -40,9 +40,7 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All items for each query, by their places in two full rankings: Euclidean distance and dot product of whole vectors."""
     items = _items(spark, sf_dir)
-    near = retrieval.nearest(_queries(items), items, k=None).select("query_id", "item_id", "rank")
-    alike = retrieval.most_alike(_queries(items), items, k=None).select("query_id", "item_id", "rank")
-    return retrieval.fuse(near, alike).withColumn("rrf", F.round("rrf", 9))
+    return retrieval.fused_rankings(_queries(items), items)
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
