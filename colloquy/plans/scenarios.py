@@ -47,12 +47,9 @@ def best_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("item_vec"), "label")
     queries = items.filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("item_vec").alias("query_vec"), F.col("label").alias("own"))
     odd = queries.filter("own % 2 = 1").select("query_id", "query_vec")
-    others = F.col("query_id") != F.col("item_id")
-    near = retrieval.nearest(odd, items.select("item_id", "item_vec"), k=None).filter(others).select("query_id", "item_id", "rank")
-    alike = retrieval.most_alike(odd, items.select("item_id", "item_vec"), k=None).filter(others).select("query_id", "item_id", "rank")
     first = items.groupBy("label").agg(F.min_by("item_vec", "item_id").alias("ref"))
     cosines = queries.join(first, queries["own"] == first["label"]).select("query_id", vectors.unit_cosine(F.col("query_vec"), F.col("ref")).alias("cosine"))
-    found = retrieval.best_similarity(queries, retrieval.fuse(near, alike), cosines)
+    found = retrieval.best_similarity(queries, retrieval.best_fused(odd, items), cosines)
     return found.select("query_id", F.round("similarity", 6).alias("similarity"), "kind", retrieval.idle_like(F.col("similarity"), F.lit(0.5)).alias("idle"))
 
 

@@ -96,3 +96,8 @@ def test_large_values_and_one_item(spark):
 def test_rrf_fusion_joins_no_pairs(spark, large):
     n, pairs = counted(spark, "rrf_fusion", large)
     assert n == 30 * 3000 and pairs < 10_000
+
+
+def test_best_similarity_joins_no_pairs(spark, large):
+    n, pairs = counted(spark, "best_similarity", large)
+    assert n == 30 and pairs < 10_000
