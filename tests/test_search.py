@@ -101,3 +101,8 @@ def test_rrf_fusion_joins_no_pairs(spark, large):
 def test_best_similarity_joins_no_pairs(spark, large):
     n, pairs = counted(spark, "best_similarity", large)
     assert n == 30 and pairs < 10_000
+
+
+def test_hybrid_rank_joins_no_pairs(spark, large):
+    n, pairs = counted(spark, "hybrid_rank", large)
+    assert n == 150 and pairs < 10_000
