@@ -106,3 +106,8 @@ def test_best_similarity_joins_no_pairs(spark, large):
 def test_hybrid_rank_joins_no_pairs(spark, large):
     n, pairs = counted(spark, "hybrid_rank", large)
     assert n == 150 and pairs < 10_000
+
+
+def test_knn_topk_joins_no_pairs(spark, large):
+    n, pairs = counted(spark, "knn_topk", large)
+    assert n == 240 and pairs < 10_000
