@@ -98,7 +98,7 @@ def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     items = _docs(spark, sf_dir, "text").select(F.col("doc_id").alias("item_id"), F.col("text").alias("item_text"))
-    scored = retrieval.bm25(queries, items).withColumn("score", F.round("score", 6))
+    scored = retrieval.bm25(queries, items, k=5, digits=6).withColumn("score", F.round("score", 6))
     return retrieval.top_k(scored, 5, F.col("score").desc(), F.col("item_id")).select("query_id", "item_id", "score", "rank")
 
 

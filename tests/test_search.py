@@ -111,3 +111,22 @@ def test_hybrid_rank_joins_no_pairs(spark, large):
 def test_knn_topk_joins_no_pairs(spark, large):
     n, pairs = counted(spark, "knn_topk", large)
     assert n == 240 and pairs < 10_000
+
+
+def test_bm25_of_k_is_that_of_all(spark):
+    texts = ["common " * (i % 3 + 1) + " ".join(f"w{(i * j) % 37}" for j in range(i % 11)) for i in range(200)] + ["common w1 w2"] * 150 + [None, "", "other"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, item_text string").repartition(3)
+    queries = spark.createDataFrame([(0, "common w1 W1 w5"), (1, "w2 w3 absent"), (2, None), (3, "absent"), (4, "common")], "query_id int, query_text string")
+    every = retrieval.bm25(queries, items)
+    want = retrieval.top_k(every.withColumn("score", F.round("score", 6)), 5, F.col("score").desc(), F.col("item_id"))
+    for most in (2000, 2):
+        some = retrieval.bm25(queries, items, k=5, digits=6, most_queries=most)
+        assert some.count() < 100 < every.count()
+        assert rows_of(retrieval.top_k(some.withColumn("score", F.round("score", 6)), 5, F.col("score").desc(), F.col("item_id"))) == rows_of(want)
+    assert retrieval.bm25(queries, items.limit(0), k=5).collect() == [] == retrieval.bm25(queries.limit(0), items, k=5).collect()
+
+
+def test_bm25_topk_shuffles_no_words_of_items(spark):
+    found = __spark_entry__.queries()["bm25_topk"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(found.collect()) == 200 and "Join" not in plan and plan.count("Exchange") == 1  # the candidates, by query
