@@ -29,7 +29,7 @@ def large(spark, tmp_path_factory):
     """3,000 vectors, of which 30 ask."""
     path = str(tmp_path_factory.mktemp("large"))
     rng = np.random.default_rng(1)
-    rows = [(i, v.tolist(), i % 10) for i, v in enumerate((rng.normal(size=(3_000, DIM)) / 8).astype(np.float32))]
+    rows = [(i, v.tolist(), i // 100 % 10) for i, v in enumerate((rng.normal(size=(3_000, DIM)) / 8).astype(np.float32))]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4).write.parquet(f"{path}/embeddings.parquet")
     return path
 
